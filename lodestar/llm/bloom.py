@@ -42,8 +42,12 @@ def add(words: np.ndarray, keys: np.ndarray) -> None:
 def might_contain(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     block, bits = _bits(keys, len(words) // _WORDS)
     hit = np.ones(len(keys), bool)
+    left = np.arange(len(keys))
     for bit in bits:
-        hit &= (words[block * _WORDS + (bit >> 6)] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+        at = bit[left]
+        ok = (words[block[left] * _WORDS + (at >> 6)] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        hit[left[~ok]] = False
+        left = left[ok]
     return hit
 
 
