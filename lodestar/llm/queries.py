@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, langid, ngram_join, secrets
+from lodestar.llm import bpe, decontam, langid, ngram_join, ngram_lm, pseudonyms, quality_rules, secrets
 from lodestar.llm.sampling import held_out
 
 
+#: A real run brings a secret key of its own.
+PSEUDONYM_KEY = "example key: replace in production"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,10 +25,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -42,6 +54,14 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, keep_decoded=False, digests=True)
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_langid_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out("doc_id")))
@@ -50,7 +70,7 @@ def op10_langid_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_partenum_join, op5_secret_scan, op7_bpe_tree, op10_langid_embeddings)}
+    return {f.__name__: f for f in (op1_quality_divergence, op2_partenum_join, op3_template_decontamination, op5_secret_scan, op7_bpe_tree, op8_feistel_pseudonyms, op9_backoff_scores, op10_langid_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
