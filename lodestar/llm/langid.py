@@ -162,10 +162,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(found.column("text").to_pylist(), found.column("label").to_pylist())
 
 
-def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``pass_cols`` of each row, with ``lang_pred``, ``score`` and ``rejected`` (too little certainty, or no letter)."""
+def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_cols: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``pass_cols`` of each row, with the predicted language, its score and whether the text is rejected (too little certainty, or
+    no letter), under these ``names``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pass_cols] + ["lang_pred string", "score double", "rejected boolean"])
+    out_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pass_cols] + [f"{n} {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True)])
     text_at = len(pass_cols)
 
     def run(batches):
@@ -181,10 +182,10 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_c
             if m.languages:
                 best, score = m.predict(raw, bounds)
                 score = np.where(has, score, 0.0)
-                names = [m.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)]
+                labels = [m.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)]
             else:
-                names, score = ["und"] * len(has), np.zeros(len(has))
+                labels, score = ["und"] * len(has), np.zeros(len(has))
             rejected = ~has | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(text_at)), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*pass_cols, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(text_at)), pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*pass_cols, *names])
 
     return df.select(*[F.col(f"`{c}`") for c in pass_cols], F.col(text_col).alias("_text")).mapInArrow(run, out_schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontam, langid, ngram_join, ngram_lm, pseudonyms, quality_rules, secrets
+from lodestar.llm import bpe, decontam, langid, ngram_join, ngram_lm, pseudonyms, quality_gam, quality_rules, secrets, url_filter
 from lodestar.llm.sampling import held_out
 
 
@@ -37,6 +37,30 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules (action, host, path), and listed URLs, which a real run reads from tables.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(h, p, a, True) for a, h, p in URL_RULES] + [(h, "/", "block", False) for h in LISTED_HOSTS]
+    entries = spark.createDataFrame(rows, "host string, path string, action string, is_rule boolean")
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), entries)
+
+
+_FITS = "(host = {h} OR ends_with(host, '.' || {h})) AND starts_with(path, {p})"
+OP4_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r(a, h, f) AS (VALUES {", ".join(map(str, URL_RULES))}),
+ l(h, f) AS (VALUES {", ".join(f"('{h}', '/')" for h in LISTED_HOSTS)}),
+ d AS (SELECT page_id, host, path,
+  (SELECT arg_max(h || f, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f")}) AS rule,
+  (SELECT arg_max(a, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f")}) AS act,
+  (SELECT arg_max(h || f, length(h || f)) FROM l WHERE {_FITS.format(h="h", p="f")}) AS listed FROM p)
+ SELECT page_id, host, path, rule, listed, coalesce(act, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM d"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -50,6 +74,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(of(k) for k in base), F.sha2(text(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_gam.train(docs, labels.where(~held_out("doc_id")))
+    found = quality_gam.score(docs, model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, keep_decoded=False, digests=True)
 
@@ -70,8 +101,8 @@ def op10_langid_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_divergence, op2_partenum_join, op3_template_decontamination, op5_secret_scan, op7_bpe_tree, op8_feistel_pseudonyms, op9_backoff_scores, op10_langid_embeddings)}
+    return {f.__name__: f for f in (op1_quality_divergence, op2_partenum_join, op3_template_decontamination, op4_url_filter, op5_secret_scan, op6_quality_gam, op7_bpe_tree, op8_feistel_pseudonyms, op9_backoff_scores, op10_langid_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL}

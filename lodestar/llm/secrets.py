@@ -12,7 +12,6 @@ results; extra columns are not read, so their names can't clash. An empty table
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -334,20 +333,27 @@ class Scanner:
                 best = k + 1 - pos
         return best
 
-    def scan(self, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """For each document its spans (start, end in code points, rule), by start, then rule."""
-        found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(bounds) - 1)]
-        if not len(data):
-            return found
-        for a, b in zip(*(x.tolist() for x in self.suspects(data, bounds)), strict=True):
-            doc = int(np.searchsorted(bounds, a, "right")) - 1
-            before = int(np.count_nonzero((data[bounds[doc] : a] & 0xC0) != 0x80))
-            points = code_points(data[a:b])
-            found[doc] += [(before + int(points[s]), before + int(points[e]), r) for s, e, r in self.spans(data[a:b].tobytes())]
-        for spans in found:
+    def byte_spans(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each document with secrets its spans (start, end in bytes of it, rule), by start, then rule."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        if len(data):
+            for a, b in zip(*(x.tolist() for x in self.suspects(data, bounds)), strict=True):
+                doc = int(np.searchsorted(bounds, a, "right")) - 1
+                shift = a - int(bounds[doc])
+                if spans := self.spans(data[a:b].tobytes()):
+                    found.setdefault(doc, []).extend((s + shift, e + shift, r) for s, e, r in spans)
+        for spans in found.values():
             spans.sort(key=lambda x: (x[0], x[2]))
         return found
 
+    def scan(self, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """For each document its spans (start, end in code points, rule), by start, then rule."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(bounds) - 1)]
+        for doc, spans in self.byte_spans(data, bounds).items():
+            points = code_points(data[bounds[doc] : bounds[doc + 1]])
+            out[doc] = [(int(points[s]), int(points[e]), r) for s, e, r in spans]
+        return out
+
 
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
@@ -373,7 +379,43 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, secrets array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def digest(spans: list[tuple[str, int, int]]) -> tuple[str, str]:
-    """The spans as one string, and its SHA-256."""
-    text = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-    return text, hashlib.sha256(text.encode()).hexdigest()
+MASK = b"[secret]"
+
+
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with each secret in its text replaced by MASK, overlapping ones by one, and the length column, if there is one, brought in line.
+
+    All columns are passed on as they are, so clashing names can't arise.
+    """
+    names = df.columns
+    at, long_at = names.index(text_col), names.index(length_col) if length_col in names else -1
+
+    def run(batches):
+        scan = scanner(rules)
+        for batch in batches:
+            raw, bounds, _ = text_buffers(batch.column(at))
+            changed: dict[int, bytes] = {}
+            for lo, hi in pieces(bounds):
+                data, part = raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+                for k, spans in scan.byte_spans(data, part).items():
+                    text, out, done = data[part[k] : part[k + 1]].tobytes(), [], 0
+                    for s, e, _ in spans:
+                        if s >= done:
+                            out += [text[done:s], MASK]
+                        done = max(done, e)
+                    changed[lo + k] = b"".join([*out, text[done:]])
+            if changed:
+                columns = list(batch.columns)
+                texts = columns[at].to_pylist()
+                for k, t in changed.items():
+                    texts[k] = t.decode()
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                if long_at >= 0:
+                    sizes = columns[long_at].to_pylist()
+                    for k in changed:
+                        sizes[k] = len(texts[k]) if sizes[k] is not None else None
+                    columns[long_at] = pa.array(sizes, batch.schema.field(long_at).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
