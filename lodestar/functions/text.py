@@ -52,7 +52,7 @@ def module_path(path: Column) -> Column:
     """Module segments of a file: the part after src, tests, benches or examples without a lib, main or mod stem."""
     inner = F.regexp_replace(path, r"^(?:.*/)?(?:src|tests|benches|examples)/", "")
     parts = F.split(F.regexp_replace(inner, r"\.rs$", ""), "/")
-    last = F.element_at(parts, -1)
+    last = F.try_element_at(parts, F.lit(-1))
     return F.when(last.isin("lib", "main", "mod"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
@@ -95,7 +95,7 @@ SEMANTIC_NAMES = [("url", "Url", 0.82), ("uuid", "Uuid", 0.82), ("ip", "IpAddr",
 
 def semantic_name(name: Column) -> tuple[Column, Column]:
     """(suggestion, confidence) by the last word of a snake-case name; null for other names."""
-    last = F.element_at(F.split(F.lower(name), "_"), -1)
+    last = F.try_element_at(F.split(F.lower(name), "_"), F.lit(-1))
     kind, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
     for word, suggestion, confidence in SEMANTIC_NAMES:
         hit = (last == word) & ((F.lit(word) != "id") | F.contains(name, F.lit("_")))
