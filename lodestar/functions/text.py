@@ -71,15 +71,17 @@ def truncated(text: Column, most: int = 80) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
-# Keywords of the six boundary families.
+# Keywords of the six boundary families, and of the roles source and sink.
 BOUNDARIES = {
-    "http": ["http", "request", "response", "reqwest", "axum", "hyper", "endpoint", "router"],
-    "database": ["sql", "query", "insert", "update", "delete", "postgres", "sqlite", "database"],
-    "queue": ["queue", "publish", "subscribe", "consume", "kafka", "rabbit", "channel"],
-    "file": ["file", "read", "write", "path", "open", "fs::"],
-    "network": ["socket", "tcp", "udp", "connect", "listen", "stream"],
-    "cache": ["cache", "redis", "memo", "lru"],
+    "http": ["http", "request", "response", "route", "handler", "endpoint", "axum", "actix", "rocket", "warp"],
+    "database": ["db", "database", "sql", "query", "insert", "update", "delete", "select", "transaction", "sqlx", "diesel", "postgres", "mysql", "sqlite"],
+    "queue": ["queue", "kafka", "rabbit", "nats", "sqs", "pubsub", "topic", "consumer", "producer"],
+    "file": ["file", "fs", "path", "open", "read", "write", "serialize"],
+    "network": ["socket", "tcp", "udp", "grpc", "rpc", "websocket", "net"],
+    "cache": ["cache", "redis", "memcache"],
 }
+SOURCES = ["read", "load", "fetch", "get", "receive", "consume", "pull", "input", "parse", "decode"]
+SINKS = ["write", "save", "insert", "update", "delete", "publish", "send", "emit", "store", "push", "output", "persist"]
 
 
 def boundary(text: Column, family: str, most_evidence: int = 6) -> tuple[Column, Column]:
@@ -89,30 +91,54 @@ def boundary(text: Column, family: str, most_evidence: int = 6) -> tuple[Column,
     return F.slice(hits, 1, most_evidence), F.when(F.size(hits) > 0, F.least(F.lit(0.95), 0.45 + 0.1 * F.size(hits)))
 
 
-# Suffixes of names that call for a type, with the suggestion and its confidence.
-SEMANTIC_NAMES = [("url", "Url", 0.82), ("uuid", "Uuid", 0.82), ("ip", "IpAddr", 0.80), ("socket", "SocketAddr", 0.80), ("uri", "Uri", 0.78), ("path", "PathBuf", 0.74), ("version", "Version", 0.74), ("id", "Id", 0.72)]
+def boundary_role(text: Column) -> Column:
+    """source, sink, or transit where the text has words of both or of neither."""
+    low = F.lower(text)
+    source = F.exists(F.array(*(F.lit(k) for k in SOURCES)), lambda k: F.contains(low, k))
+    sink = F.exists(F.array(*(F.lit(k) for k in SINKS)), lambda k: F.contains(low, k))
+    return F.when(source & ~sink, "source").when(sink & ~source, "sink").otherwise("transit")
+
+
+# Last parts of names that call for a type, with the suggestion and its confidence, the first that fits.
+SEMANTIC_NAMES = [
+    ("path", "PathBuf", 0.74), ("ip_addr", "IpAddr", 0.80), ("ip_address", "IpAddr", 0.80), ("socket_addr", "SocketAddr", 0.80),
+    ("url", "Url", 0.82), ("uuid", "Uuid", 0.82), ("uri", "Uri", 0.78), ("version", "Version", 0.74),
+]
+SEMANTIC_WHOLE_NAMES = [("ip", "IpAddr", 0.80), ("bind_addr", "SocketAddr", 0.80), ("listen_addr", "SocketAddr", 0.80)]
+
+
+def pascal_case(name: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(name, "_"), lambda x: x != ""), lambda x: F.initcap(x)), "")
 
 
 def semantic_name(name: Column) -> tuple[Column, Column]:
-    """(suggestion, confidence) by the last word of a snake-case name; null for other names."""
-    last = F.try_element_at(F.split(F.lower(name), "_"), F.lit(-1))
-    kind, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for word, suggestion, confidence in SEMANTIC_NAMES:
-        hit = (last == word) & ((F.lit(word) != "id") | F.contains(name, F.lit("_")))
+    """(suggestion, confidence) by the end of a snake-case name; null for other names."""
+    low = F.lower(F.regexp_replace(name, "^r#", ""))
+    kind = F.when(F.endswith(low, F.lit("_id")), pascal_case(low))
+    sure = F.when(F.endswith(low, F.lit("_id")), F.lit(0.72))
+    whole = [(low == word, suggestion, confidence) for word, suggestion, confidence in SEMANTIC_WHOLE_NAMES]
+    ends = [((low == word) | F.endswith(low, F.lit(f"_{word}")), suggestion, confidence) for word, suggestion, confidence in SEMANTIC_NAMES]
+    for hit, suggestion, confidence in reversed(ends + whole):
         kind, sure = F.when(hit, F.lit(suggestion)).otherwise(kind), F.when(hit, F.lit(confidence)).otherwise(sure)
     return kind, sure
 
 
+# Roles of free text, names that say nothing, and first segments of filesystem paths.
+OPEN_TEXT = ["help", "label", "message", "description", "reason", "text", "what", "name", "field", "preview", "placeholder", "example", "sample"]
+VAGUE_NAMES = ["s", "s1", "s2", "arg", "args", "input", "raw", "str", "string", "text"]
+ROOTS = ["bin", "boot", "dev", "etc", "home", "lib", "lib64", "media", "mnt", "opt", "proc", "root", "run", "sbin", "srv", "sys", "tmp", "usr", "var"]
+
+
 def enum_token(literal: Column) -> Column:
     """Whether a literal may name a case of an enumeration: 1 to 64 bytes, no white space, some letter or digit."""
     return (literal != "") & (F.octet_length(literal) <= 64) & ~F.rlike(literal, F.lit(r"\s")) & F.rlike(literal, F.lit(r"[\p{L}\p{N}]"))
 
 
 def literal_shape(literal: Column) -> Column:
-    """status line, endpoint or filesystem path; null for others."""
-    roots = "bin|boot|dev|etc|home|lib|lib64|media|mnt|opt|proc|root|run|sbin|srv|sys|tmp|usr|var"
+    """HTTP status line, absolute filesystem path or absolute endpoint; null for others."""
+    single = F.rlike(literal, F.lit("^/[^/]"))
     return (
-        F.when(F.rlike(literal, F.lit(r"^[1-5][0-9][0-9] [A-Z]")), "status")
-        .when(F.rlike(literal, F.lit(f"^/({roots})(/|$)")), "filesystem")
-        .when(F.rlike(literal, F.lit(r"^(https?://|/)[A-Za-z0-9]")), "endpoint")
+        F.when(F.rlike(literal, F.lit(r"^[1-5][0-9][0-9]($|\s+\S)")), "status")
+        .when(single & F.rlike(literal, F.lit(f"^(?i)/({'|'.join(ROOTS)})(/|$)")), "filesystem")
+        .when(single & (F.octet_length(literal) <= 256) & ~F.rlike(literal, F.lit(r"\s")), "endpoint")
     )

@@ -377,18 +377,20 @@ def literal_stats(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.countDistinct("o_orderpriority").alias("n_distinct"), F.count("*").alias("n_observed"), F.count_if(F.col("o_totalprice") > 100000).alias("n_compared"))
 
 
-@register("""SELECT page_id, CASE WHEN regexp_matches(url, '^[1-5][0-9][0-9] [A-Z]') THEN 'status' WHEN regexp_matches(url, '^(https?://|/)[A-Za-z0-9]') THEN 'endpoint' END AS shape,
- url <> '' AND strlen(url) <= 64 AND NOT regexp_matches(url, '\\s') AND regexp_matches(url, '[A-Za-z0-9]') AS is_token FROM pages""")
+@register("""SELECT page_id, CASE WHEN regexp_matches(p, '^[1-5][0-9][0-9]($|\\s+\\S)') THEN 'status' WHEN regexp_matches(p, '^/(bin|etc|tmp|usr|var)(/|$)') THEN 'filesystem'
+ WHEN regexp_matches(p, '^/[^/]') AND strlen(p) <= 256 AND NOT regexp_matches(p, '\\s') THEN 'endpoint' END AS shape,
+ url <> '' AND strlen(url) <= 64 AND NOT regexp_matches(url, '\\s') AND regexp_matches(url, '[A-Za-z0-9]') AS is_token FROM (SELECT *, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS p FROM pages)""")
 def literal_shape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.literal_shape(F.col("url")).alias("shape"), text.enum_token(F.col("url")).alias("is_token"))
+    return table(spark, sf_dir, "pages").select("page_id", text.literal_shape(F.regexp_extract("url", r"://[^/]*(/[^?#]*)", 1)).alias("shape"), text.enum_token(F.col("url")).alias("is_token"))
 
 
-_COLUMNS = "doc_id url page_id n_chars embedding vec_id item_path client_ip app_version home_uri socket id text".split()
+_COLUMNS = "doc_id url page_id n_chars embedding vec_id item_path client_ip peer_ip_addr ip bind_addr app_version home_uri socket id text".split()
 
 
-@register(f"""SELECT name, CASE last WHEN 'url' THEN 'Url' WHEN 'uuid' THEN 'Uuid' WHEN 'ip' THEN 'IpAddr' WHEN 'socket' THEN 'SocketAddr' WHEN 'uri' THEN 'Uri' WHEN 'path' THEN 'PathBuf' WHEN 'version' THEN 'Version' ELSE 'Id' END AS suggestion,
- CASE WHEN last IN ('url', 'uuid') THEN 0.82 WHEN last IN ('ip', 'socket') THEN 0.80 WHEN last = 'uri' THEN 0.78 WHEN last IN ('path', 'version') THEN 0.74 ELSE 0.72 END::DOUBLE AS confidence
- FROM (SELECT name, string_split(name, '_')[-1] AS last FROM (SELECT unnest({_COLUMNS}) AS name)) WHERE last IN ('url', 'uuid', 'ip', 'socket', 'uri', 'path', 'version') OR (last = 'id' AND contains(name, '_'))""")
+@register(f"""SELECT name, CASE WHEN e = 'path' THEN 'PathBuf' WHEN name = 'ip' OR name LIKE '%ip_addr' THEN 'IpAddr' WHEN name = 'bind_addr' THEN 'SocketAddr' WHEN e = 'url' THEN 'Url' WHEN e = 'uuid' THEN 'Uuid' WHEN e = 'uri' THEN 'Uri'
+ WHEN e = 'version' THEN 'Version' ELSE array_to_string([upper(x[1]) || x[2:] for x in string_split(name, '_')], '') END AS suggestion,
+ CASE WHEN e IN ('url', 'uuid') THEN 0.82 WHEN name IN ('ip', 'bind_addr') OR name LIKE '%ip_addr' THEN 0.80 WHEN e = 'uri' THEN 0.78 WHEN e IN ('path', 'version') THEN 0.74 ELSE 0.72 END::DOUBLE AS confidence
+ FROM (SELECT name, string_split(name, '_')[-1] AS e FROM (SELECT unnest({_COLUMNS}) AS name)) WHERE e IN ('url', 'uuid', 'uri', 'path', 'version') OR name IN ('ip', 'bind_addr') OR name LIKE '%ip_addr' OR name LIKE '%\\_id' ESCAPE '\\'""")
 def semantic_columns(spark, sf_dir):
     names = spark.createDataFrame([(c,) for c in _COLUMNS], "name string")
     suggestion, confidence = text.semantic_name(F.col("name"))

@@ -184,7 +184,12 @@ def dot(edges: DataFrame) -> DataFrame:
 
 
 # Marks of attributes that make a runtime call a function, and trait methods that others call by contract.
-_RUNTIME = "no_mangle|export_name|main|wasm_bindgen|pyfunction|pymethods|napi|tauri::command|command|handler|get\\(|post\\(|put\\(|delete\\(|instruction|entrypoint|ctor|panic_handler|global_allocator|proc_macro|test_case|bench"
+RUNTIME_MARKS = [
+    "no_mangle", "export_name", "panic_handler", "global_allocator", "alloc_error_handler", "wasm_bindgen", "tauri::command", "napi", "pyfunction",
+    "tokio::main", "async_std::main", "actix_web::main", "actix_web::get", "actix_web::post", "actix_web::put", "actix_web::delete", "actix_web::patch",
+    "actix_web::head", "actix_web::options", "actix_web::route", "rocket::get", "rocket::post", "rocket::put", "rocket::delete", "rocket::patch",
+    "rocket::head", "rocket::options", "rocket::route", "proc_macro", "proc_macro_derive", "proc_macro_attribute", "proc_macro_hack",
+]
 _COMMON_TRAIT_METHODS = ["fmt", "from", "into", "try_from", "default", "clone", "eq", "cmp", "partial_cmp", "hash", "drop", "deref", "next", "poll", "from_str", "as_ref", "borrow", "index", "add", "serialize", "deserialize"]
 
 
@@ -213,7 +218,7 @@ def dead_code(code: CodeIndex, external_refs: DataFrame | None = None) -> DataFr
         ("framework_handler", F.coalesce("handled", F.lit(False))),
         ("re_exported", F.coalesce("exported", F.lit(False))),
         ("cfg_test", F.exists("cfg_attrs", lambda c: c == "test")),
-        ("runtime_entry", F.exists("attributes", lambda a: F.rlike(F.lower(a), F.lit(_RUNTIME)))),
+        ("runtime_entry", F.exists("attributes", lambda a: F.rlike(F.regexp_replace(F.lower(a), r"\s", ""), F.lit("|".join(RUNTIME_MARKS))))),
         ("common_trait_method", (F.col("kind_tag") == "method") & F.col("name").isin(_COMMON_TRAIT_METHODS)),
         ("ambiguous", (F.col("homonyms") > 1) & (F.col("n_live") > 0)),
     ])
@@ -257,11 +262,12 @@ def value_flow(code: CodeIndex) -> DataFrame:
 
 
 def boundaries(code: CodeIndex, least: float = 0.0) -> DataFrame:
-    """(fn_id, family, confidence, evidence) by keywords in a function's name, signature and callees."""
+    """(fn_id, family, role, confidence, evidence) by keywords in a function's name, signature and callees."""
     callees = code.call_sites.groupBy(F.col("caller_id").alias("fn_id")).agg(F.array_join(F.array_sort(F.collect_set("callee")), " ").alias("callees"))
     d = code.functions.join(callees, "fn_id", "left").withColumn("corpus", F.concat_ws(" ", "name", "signature", F.coalesce("callees", F.lit(""))))
     found = [F.struct(F.lit(f).alias("family"), *(c.alias(n) for c, n in zip(text.boundary(F.col("corpus"), f), ("evidence", "confidence"), strict=True))) for f in text.BOUNDARIES]
-    return d.select("fn_id", F.explode(F.array(*found)).alias("b")).where(F.col("b.confidence") >= max(least, 1e-9)).select("fn_id", "b.family", "b.confidence", "b.evidence")
+    d = d.select("fn_id", text.boundary_role(F.col("corpus")).alias("role"), F.explode(F.array(*found)).alias("b"))
+    return d.where(F.col("b.confidence") >= max(least, 1e-9)).select("fn_id", "b.family", "role", "b.confidence", "b.evidence")
 
 
 def ensemble(code: CodeIndex, name: str, depth: int = 2) -> dict[str, DataFrame]:
@@ -294,8 +300,8 @@ def stringly(code: CodeIndex, least: float = 0.85, exclude_tests: bool = True) -
     semantic, sure = text.semantic_name(F.col("name"))
     options = [
         F.when(F.coalesce(F.nullif("into", F.lit("")), F.when(F.col("parsed"), F.lit("parsed type"))).isNotNull(), F.struct(F.lit(0.99).alias("confidence"), F.lit(4).alias("priority"), F.coalesce(F.nullif("into", F.lit("")), F.lit("parsed type")).alias("suggestion"), F.lit("conversion").alias("origin"))),
-        F.when(F.col("n_literals") >= 2, F.struct(F.when(F.col("n_seen") >= 3, F.lit(0.86)).otherwise(F.lit(0.8)).alias("confidence"), F.lit(3).alias("priority"), F.initcap("name").alias("suggestion"), F.lit("literals").alias("origin"))),
-        F.when(semantic.isNotNull(), F.struct(sure.alias("confidence"), F.lit(1).alias("priority"), semantic.alias("suggestion"), F.lit("name").alias("origin"))),
+        F.when((F.col("n_literals") >= 2) & ~F.lower("name").isin(text.OPEN_TEXT), F.struct(F.when(F.col("n_seen") >= 3, F.lit(0.86)).otherwise(F.lit(0.8)).alias("confidence"), F.lit(3).alias("priority"), text.pascal_case(F.col("name")).alias("suggestion"), F.lit("literals").alias("origin"))),
+        F.when(semantic.isNotNull(), F.struct(sure.alias("confidence"), F.lit(2).alias("priority"), semantic.alias("suggestion"), F.lit("name").alias("origin"))),
     ]
     d = d.withColumn("best", F.greatest(*options, F.lit(None).cast("struct<confidence:double,priority:int,suggestion:string,origin:string>")))
     return d.where(F.col("best.confidence") >= least).select("site_id", "role", "best.suggestion", "best.origin", "best.confidence", F.coalesce("n_literals", F.lit(0)).alias("n_literals"))
