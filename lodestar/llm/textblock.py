@@ -6,13 +6,20 @@ those bytes never occur inside a multi-byte UTF-8 character, so byte words equal
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 22
+try:  # large arrays go back to the system as soon as they are freed, which keeps workers small
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (AttributeError, OSError):  # another C library
+    pass
+pa.set_memory_pool(pa.system_memory_pool())
+
+PIECE = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -98,7 +105,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     lo = 0
     while lo < len(starts):
         at = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, at + (PIECE >> 2), "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, at + PIECE, "right")))
         size = int(ends[hi - 1] - at)
         up, down = _powers(size)
         sums = np.zeros(size + 1, U64)
