@@ -24,7 +24,6 @@ empty table.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +40,9 @@ LEVELS = 4
 #: A run with more members is compared in blocks of so many.
 BLOCK = 2048
 #: Cross-component pairs of a member that are compared first.
-FIRST_PAIRS = 4
-_FLUSH = 1 << 20
-_SEEN = 200_000
+FIRST_PAIRS = 2
+_FLUSH = 1 << 19
+_SEEN = 50_000
 _LEVEL_SEED = [U64(x) for x in (0, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -247,15 +246,21 @@ def _runs(batches):
     if not len(sig):
         return
     edge = np.append(np.flatnonzero(new), len(sig))
-    done: set = set()
-    found: list = []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        members = np.unique(doc[a:b])
+    first, size = edge[:-1], np.diff(edge)
+    two = first[size == 2]
+    low, high = np.minimum(doc[two], doc[two + 1]), np.maximum(doc[two], doc[two + 1])
+    key = np.add(mix(low.view(U64)), mix(high.view(U64))) ^ U64(2)
+    _, once = np.unique(key[low != high], return_index=True)
+    low, high, key = (x[low != high][once] for x in (low, high, key))
+    found: list = list(zip(key.view(np.int64).tolist(), np.column_stack([low, high]), strict=True))
+    done = set(key.tolist())
+    for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        members = np.unique(doc[a : a + n])
         if len(members) > 1:
-            run = int((np.add.reduce(mix(members.view(U64))) ^ U64(len(members))).view(np.int64))
-            if run not in done:
-                done.add(run)
-                found.append((run, members))
+            k = np.add.reduce(mix(members.view(U64))) ^ U64(len(members))
+            if int(k) not in done:
+                done.add(int(k))
+                found.append((int(k.view(np.int64)), members))
     for lo in range(0, len(found), 1000):
         part = found[lo : lo + 1000]
         none = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
@@ -284,28 +289,52 @@ def _verify(batches):
 
 
 def _cross_pairs(first: int | None):
-    """Of a group's members (run, x, y, doc_id, component, n, sketch), two blocks of one run: pairs in different components
-    that may link, all or for each member the ``first`` that look most alike."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left = pdf[pdf["block"] == x]
-        right = pdf[pdf["block"] == y]
-        ids, comp, n = (right[c].to_numpy() for c in ("doc_id", "component", "n"))
-        width = min(len(s) for s in pdf["sketch"])
-        bits = _folded(right["sketch"], width)
-        out = []
-        for doc, c, size, mine in zip(left["doc_id"], left["component"], left["n"], _folded(left["sketch"], width), strict=True):
-            want = (comp != c) & ((ids > doc) if x == y else True)
-            want &= NUM * np.maximum(n, size) <= DEN * np.minimum(n, size)
-            at = np.flatnonzero(want)
-            diff = np.bitwise_count(bits[at] ^ mine).sum(1, dtype=np.int64)
-            ok = (DEN + NUM) * diff <= (DEN - NUM) * (n[at] + size)
-            at, diff = at[ok], diff[ok]
-            if first is not None and len(at) > first:
-                at = at[np.argsort(diff, kind="stable")[:first]]
-            out += [(min(doc, int(ids[j])), max(doc, int(ids[j]))) for j in at]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    """Of the members of runs (pivot, x, y, run, doc_id, component, n, sketch, block), two blocks of the runs with one pivot at a time:
+    pairs (a, b) of one run in different components that may link, each once; all, or for each member the ``first`` that look most
+    alike. Pivots for which this left some out follow as rows of their own."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64())])
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        pivot, x, y, key, ids, comp, n, block = (rows.column(c).to_numpy() for c in ("pivot", "x", "y", "run", "doc_id", "component", "n", "block"))
+        sketches = rows.column("sketch").to_pylist()
+        order = np.lexsort((ids, key, y, x, pivot))
+        for group in np.split(order, np.flatnonzero(np.diff(pivot[order]) | np.diff(x[order]) | np.diff(y[order])) + 1):
+            found: dict[tuple[int, int], int] = {}
+            for part in np.split(group, np.flatnonzero(np.diff(key[group])) + 1):
+                left, right = part[block[part] == x[group[0]]], part[block[part] == y[group[0]]]
+                if not len(left) or not len(right):
+                    continue
+                width = min(len(sketches[k]) for k in part)
+                bits = _folded([sketches[k] for k in right], width)
+                mine = bits if np.array_equal(left, right) else _folded([sketches[k] for k in left], width)
+                same = x[group[0]] == y[group[0]]
+                for k, sk in zip(left, mine, strict=True):
+                    want = (comp[right] != comp[k]) & (NUM * np.maximum(n[right], n[k]) <= DEN * np.minimum(n[right], n[k]))
+                    if same:
+                        want &= ids[right] > ids[k]
+                    at = np.flatnonzero(want)
+                    if not len(at):
+                        continue
+                    diff = np.bitwise_count(bits[at] ^ sk).sum(1, dtype=np.int64)
+                    ok = (DEN + NUM) * diff <= (DEN - NUM) * (n[right[at]] + n[k])
+                    for other, d in zip(ids[right[at[ok]]].tolist(), diff[ok].tolist(), strict=True):
+                        found[min(int(ids[k]), other), max(int(ids[k]), other)] = d
+            pairs = sorted(found, key=lambda p: (found[p], p))
+            if first is not None:
+                seen: dict[int, int] = {}
+                near = []
+                for a, b in pairs:
+                    if seen.get(a, 0) < first or seen.get(b, 0) < first:
+                        seen[a], seen[b] = seen.get(a, 0) + 1, seen.get(b, 0) + 1
+                        near.append((a, b))
+                short, pairs = len(near) < len(pairs), near
+                if short:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pivot[group[0]]])], schema=schema)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), pa.nulls(len(pairs), pa.int64())], schema=schema)
 
     return run
 
@@ -369,18 +398,23 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = materialise(verified(star), "links")
     component = connected_components(links, "a", "b")
+    larger = members.where("size > 2 AND doc_id <> pivot")  # the pairs with a run's smallest member are decided
+    tried = star
     for first in (FIRST_PAIRS, None):
-        labelled = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("run", "many")
-        open_runs = materialise(labelled.join(split, "run").join(info, "doc_id").select("run", "doc_id", "component", "n", "sketch", "many"), "open")
-        if open_runs.isEmpty():
+        labelled = larger.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        split = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
+        opened = labelled.join(split, "run").join(info, "doc_id").select("run", "pivot", "doc_id", "component", "n", "sketch")
+        many = opened.select("pivot", "doc_id").distinct().groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blocked = opened.join(many, "pivot").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "run", "doc_id", "component", "n", "sketch", "block")
+        pairs = materialise(blocked.repartition(parts, "pivot", "x", "y").mapInArrow(_cross_pairs(first), "a bigint, b bigint, pivot bigint").distinct(), "pairs")
+        wanted = pairs.where(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        if wanted.isEmpty():
             break
-        count = F.ceil(F.col("many") / BLOCK).cast("int")
-        blocked = open_runs.withColumn("block", F.pmod(F.xxhash64("doc_id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        blocked = blocked.select("run", "doc_id", "component", "n", "sketch", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        pairs = materialise(blocked.groupBy("run", "x", "y").applyInPandas(_cross_pairs(first), "a bigint, b bigint").distinct(), "pairs")
-        links = materialise(links.unionByName(verified(pairs)), "links")
+        links = materialise(links.unionByName(verified(wanted)), "links")
         component = connected_components(links, "a", "b")
+        tried = tried.unionByName(pairs.where(F.col("a").isNotNull()).select("a", "b"))
+        larger = larger.join(pairs.where(F.col("pivot").isNotNull()).select("pivot").distinct(), "pivot", "left_semi")
 
     classes = same.select("doc_id", "rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = known.select("doc_id", "n").join(classes, "doc_id", "left")
