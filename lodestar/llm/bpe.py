@@ -1,10 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved until its parts are short, the parts are encoded on their own, and neighbours are joined
-bottom-up: the text around each join is encoded again in a window that doubles until it shares a token with the left
-part and a token with the right part, each of the same id at the same characters. Two neighbouring tokens of a valid
-BPE encoding stay neighbours in every valid encoding that has them side by side, so such a splice is the encoding of
-the whole. A window that has grown to the whole of both parts is the whole encoding itself.
+A text is halved until its parts are short, the parts are encoded on their own, and neighbours are joined bottom-up: the
+text around each join is encoded again in a window that doubles until it agrees exactly with what both sides have there.
+
+A stretch without white space (a long unsplit word) is halved between characters. There the window has to share a token
+with the left part and a token with the right part, each of the same id at the same characters: two neighbouring tokens of
+a valid BPE encoding stay neighbours in every valid encoding that has them side by side, so such a splice is the encoding of the
+whole. Other text is halved between words, and the window's ids must be those of the words at its place. Words that come
+again are encoded once and remembered, as white space always ends a pre-token. A window that has grown to the whole of both
+parts is the whole encoding itself.
 
 Nulls and empty texts have no tokens and decode to the empty string. Repeated rows give repeated results; extra columns
 stay out of the way because only the named ones are read. An empty table gives an empty table.
@@ -14,18 +18,29 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.textblock import text_buffers
+from lodestar.llm.textblock import pieces, text_buffers
 
-LEAF_CHARS = 8192
+#: Unsplit stretches with more characters are halved.
+LEAF_CHARS = 512
 WINDOW_CHARS = 48
-#: Texts are handed to the library in batches of about so many characters, which bounds a worker's memory.
-BATCH_CHARS = 600_000
+#: Texts with more words are halved, and windows between words begin with so many.
+LEAF_WORDS = 1024
+WINDOW_WORDS = 2
+#: Words that a worker remembers; beyond it starts anew.
+MEMORY = 500_000
+#: Texts are handled in batches of about so many bytes, which bounds a worker's memory.
+BATCH_CHARS = 1_000_000
+
+_MARK = re.compile(rb"(?<=[a-z])([,.;:!?])")
 
 Node = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -41,6 +56,7 @@ class TreeEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.leaf, self.window = max(1, leaf_chars), max(1, window_chars)
+        self.known: dict[bytes, bytes] = {}
         self.longest_added = max([0, *(len(t.content) for t in self.model.get_added_tokens_decoder().values())])
 
     def _nodes(self, parts: list[str], at: list[int]) -> list[Node]:
@@ -116,34 +132,104 @@ class TreeEncoder:
             nodes, cuts = joined, bounds
         return nodes[0]
 
+    def unsplit(self, text: str) -> np.ndarray:
+        """Ids of one stretch of text, halved between characters if it is long."""
+        cuts = self._cuts(text)
+        nodes: list[Node] = []
+        group = max(1, BATCH_CHARS // self.leaf)
+        for j in range(0, len(cuts) - 1, group):
+            part = cuts[j : j + group + 1]
+            nodes += self._nodes([text[p:q] for p, q in zip(part, part[1:], strict=False)], part[:-1])
+        return self._merge(text, nodes, cuts)[0]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes words that are not known yet."""
+        if len(self.known) + len(words) > MEMORY:
+            self.known.clear()
+        fresh = [w for w in words if w not in self.known]
+        short = [w for w in fresh if len(w) <= self.leaf]
+        single, other = [], []
+        for w in short:
+            t = w.decode()
+            # letters only, before and after the model's own normalisation: one pre-token
+            (single if t.isalpha() and (t.isascii() or (t.lower().isalpha() and is_normalized("NFC", t))) else other).append(w)
+        for lo in range(0, len(single), 10_000):
+            groups = [single[k : k + 500] for k in range(lo, min(lo + 10_000, len(single)), 500)]
+            for group, e in zip(groups, self.model.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+                edge = np.searchsorted(at, np.arange(len(group) + 1))
+                if at[-1] != len(group) - 1:
+                    other += group
+                    continue
+                raw = ids.tobytes()
+                self.known.update((w, raw[4 * p : 4 * q]) for w, p, q in zip(group, edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        for lo in range(0, len(other), 20_000):
+            part = other[lo : lo + 20_000]
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in fresh:
+            if len(w) > self.leaf:
+                self.known[w] = self.unsplit(w.decode()).astype("<u4").tobytes()
+
+    def _tree(self, words: list[bytes], ids: list[bytes], lo: int, hi: int) -> bytes:
+        """Ids of the words lo to hi: halves, joined where a window over the join agrees with both."""
+        if hi - lo <= LEAF_WORDS:
+            return b"".join(ids[lo:hi])
+        mid, width = (lo + hi) // 2, WINDOW_WORDS
+        left, right = self._tree(words, ids, lo, mid), self._tree(words, ids, mid, hi)
+        while True:
+            a, b = max(lo, mid - width), min(hi, mid + width)
+            window = self.unsplit(b" ".join(words[a:b]).decode()).astype("<u4").tobytes()
+            before, after = b"".join(ids[a:mid]), b"".join(ids[mid:b])
+            if window == before + after:
+                return left + right
+            if a == lo and b == hi:
+                return window
+            width *= 2
+
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words between ASCII white space (they can hold other white space); a mark after an ASCII letter, where a pre-token always
+        ends, is set apart, and A-Z are lower-cased, as the model does itself, unless they might belong to an added token."""
+        if b"<|" not in text:
+            text = text.lower()
+        return _MARK.sub(rb" \1", text).split()
+
+    def encode_bytes(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
+        split = [self._split(t) for t in texts]
+        self._learn({w for words in split for w in words} - self.known.keys())
+        out = []
+        for words in split:
+            try:
+                ids = list(map(self.known.__getitem__, words))
+            except KeyError:  # the memory was emptied in between
+                self._learn(set(words))
+                ids = list(map(self.known.__getitem__, words))
+            out.append(self._tree(words, ids, 0, len(words)) if len(words) > LEAF_WORDS else b"".join(ids))
+        return out
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         lo = 0
-        texts = [t or "" for t in texts]
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_CHARS):
-                size += len(texts[hi])
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= BATCH_CHARS):
+                size += len(texts[hi] or "")
                 hi += 1
-            short = [k for k in range(lo, hi) if len(texts[k]) <= self.leaf]
-            ids = {k: np.array(e.ids, np.uint32) for k, e in zip(short, self.model.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True)}
-            for k in range(lo, hi):
-                if k not in ids:
-                    cuts = self._cuts(texts[k])
-                    nodes: list[Node] = []
-                    group = max(1, BATCH_CHARS // self.leaf)
-                    for j in range(0, len(cuts) - 1, group):
-                        part = cuts[j : j + group + 1]
-                        nodes += self._nodes([texts[k][p:q] for p, q in zip(part, part[1:], strict=False)], part[:-1])
-                    ids[k] = self._merge(texts[k], nodes, cuts)[0]
-            for k in range(lo, hi):
-                yield ids.pop(k)
+            for ids in self.encode_bytes([(t or "").encode() for t in texts[lo:hi]]):
+                yield np.frombuffer(ids, "<u4")
             lo = hi
 
     def decode(self, many: list[np.ndarray]) -> list[str]:
         return self.model.decode_batch([x.tolist() for x in many], skip_special_tokens=False)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
+    """A worker's encoder, with the words it remembers."""
+    return TreeEncoder(path, leaf_chars)
+
+
 def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, digests: bool = False, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """One row for each row of ``df``: the id, ``n_tokens`` and, as asked for, ``ids`` (array<int>), ``decoded`` and their SHA-256 digests.
 
@@ -154,25 +240,21 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     source = df.select(id_col, text_col)
 
     def run(batches):
-        coder = None
+        coder = encoder(tokenizer, leaf_chars)
         for batch in batches:
-            coder = coder or TreeEncoder(tokenizer, leaf_chars)
-            rows, lo = batch.num_rows, 0
-            _, bounds, _ = text_buffers(batch.column(1))
-            while lo < rows:
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 4 * BATCH_CHARS, "right")) - 1)
-                part = batch.slice(lo, hi - lo)
-                ids = list(coder.encode(part.column(1).to_pylist()))
-                out = [part.column(0), pa.array([len(x) for x in ids], pa.int64())]
+            raw, bounds, _ = text_buffers(batch.column(1))
+            for lo, hi in pieces(bounds, BATCH_CHARS):
+                coded = coder.encode_bytes([raw[bounds[k] : bounds[k + 1]].tobytes() for k in range(lo, hi)])
+                ids = [np.frombuffer(x, "<u4") for x in coded]
+                out = [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64())]
                 text = coder.decode(ids) if keep_decoded or digests else []
                 if keep_ids:
                     out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 if keep_decoded:
                     out.append(pa.array(text, pa.string()))
                 if digests:
-                    out.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()))
+                    out.append(pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()))
                     out.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [id_col, "n_tokens"] + ["ids"] * keep_ids + ["decoded"] * keep_decoded + ["ids_sha256", "decoded_sha256"] * digests)
-                lo = hi
 
     return source.mapInArrow(run, ", ".join(cols))
