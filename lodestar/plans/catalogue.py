@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import asof, graph, intervals, lines, resolve, rollup, search
+from lodestar.plans import commands, fixture, reports
 from lodestar.session import materialise
+from lodestar.sources.code import CodeIndex
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -430,3 +432,40 @@ def qualifier_split(spark, sf_dir):
  FROM (SELECT l_partkey, l_suppkey, bool_or(l_returnflag = 'R') AS ran FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY l_partkey""")
 def region_coverage(spark, sf_dir):
     return rollup.region_states(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag"), "l_partkey", ["l_suppkey"], F.col("l_returnflag") == "R")
+
+
+def _fixture(spark: SparkSession) -> CodeIndex:
+    return CodeIndex.from_strings(spark, fixture.FILES)
+
+
+def _code(name: str, query: Callable[[CodeIndex], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(_fixture(spark))
+
+    run.__name__ = f"code_{name}"
+    register()(run)
+
+
+_code("inventory", commands.inventory)
+_code("tree", commands.tree)
+_code("find", lambda c: commands.find(c, "save"))
+_code("definition", lambda c: commands.definition(c, "Event"))
+_code("callers", lambda c: commands.callers(c, "save", depth=2))
+_code("refs", lambda c: commands.refs(c, "Event"))
+_code("usages", lambda c: commands.usages(c, "parse"))
+_code("members", lambda c: commands.members(c, "Event"))
+_code("impls", lambda c: commands.impls(c, "Store"))
+_code("grep", lambda c: commands.grep(c, "event"))
+_code("call_graph", lambda c: commands.call_graph(c, "pipe", include_callers=True))
+_code("call_graph_dot", lambda c: commands.dot(commands.call_graph(c, "pipe")))
+_code("paths", lambda c: commands.paths_between(c, "app", "open")[0])
+_code("dead", commands.dead_code)
+_code("lifecycle", lambda c: commands.lifecycle(c, "Event"))
+_code("value_flow", commands.value_flow)
+_code("boundaries", commands.boundaries)
+_code("stringly", lambda c: commands.stringly(c, least=0.7))
+_code("coverage", commands.test_coverage)
+_code("blind_spots", commands.blind_spots)
+_code("coverage_dot", lambda c: reports.coverage_dot(commands.test_coverage(c), commands.resolved_edges(c)))
+_code("slice", lambda c: reports.source_slice(c, "src/lib.rs", 3, 9))
+_code("summary", reports.project_summary)
