@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence, several in a row as one) and
-units after a number are typed placeholders, other words are themselves in lower case. Windows of WIDTH tokens with
+units after a number are typed placeholders, other words are themselves in lower case (of one- and two-byte characters). Windows of WIDTH tokens with
 enough literal words are hashed; windows of the corpus that a blocked Bloom filter of the benchmark's windows lets pass are
 hash-joined with them. A document and an item match if the matching windows on one alignment cover enough of the item
 and its slots are filled consistently: equal slot values of the item stand for equal ones of the document, and different ones
@@ -48,6 +48,10 @@ _POINT[[ord("."), ord(",")]] = True
 _ENDS = np.ones(256, bool)
 _ENDS[[ord(c) for c in " \t,-'&/"]] = False
 
+#: Lower case of the two-byte code points, where it has two bytes too.
+_FOLD = np.arange(0x800)
+_FOLD[0x80:] = [ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x800 else c for c in range(0x80, 0x800)]
+
 LITERAL, NUMBER, NAME, UNIT = range(4)
 _PLACE = {NUMBER: U64(0x4E554D4245523031), NAME: U64(0x4E414D45303030F1), UNIT: U64(0x554E495430303031)}
 _unit_hashes = None
@@ -62,6 +66,21 @@ def _units() -> np.ndarray:
     return _unit_hashes
 
 
+def fold_case(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text with upper-case two-byte characters in lower case, and whether an upper-case letter begins at each byte."""
+    upper = _UPPER[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF)) if len(data) > 1 else np.zeros(0, np.int64)
+    if len(lead):
+        point = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
+        low = _FOLD[point]
+        change = low != point
+        if change.any():
+            data, at, low = data.copy(), lead[change], low[change]
+            data[at], data[at + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+            upper[at] = True
+    return data, upper
+
+
 def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template hash, kind, value hash) of all tokens, and for each document the index of its first (one more at the end)."""
     word = _ALNUM[data]
@@ -77,7 +96,8 @@ def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         first[head], last[tail] = word[head], word[tail]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     at = np.searchsorted(starts, bounds)
-    value = word_hashes(data, starts, ends, lower=True)
+    folded, upper = fold_case(data)
+    value = word_hashes(folded, starts, ends, lower=True)
     n = len(starts)
     if not n:
         return value, np.zeros(0, np.int8), value, at
@@ -91,9 +111,7 @@ def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     fresh[1:] |= ending[starts[1:]] > ending[ends[:-1]]
     lower = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_LOWER[data], out=lower[1:])
-    high = _UPPER[data[starts]]
-    two = np.minimum(starts + 1, len(data) - 1)
-    high |= (data[starts] == 0xC3) & (data[two] >= 0x80) & (data[two] <= 0x9E)
+    high = upper[starts]
     kind[high & ~fresh & (lower[ends] > lower[starts]) & (kind == LITERAL)] = NAME
     after = np.zeros(n, bool)
     after[1:] = (kind[:-1] == NUMBER) & ~doc_first[1:]

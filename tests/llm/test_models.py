@@ -142,6 +142,13 @@ def test_verbatim_and_reparameterised_items(spark):
     assert got[1, 1].reparameterised and not got[0, 2].reparameterised
 
 
+def test_case_of_accented_letters_is_folded(spark):
+    text = "Éai éonleeau pour an êonqueé ñivi äi Ж éenaitre oiaux"
+    docs = spark.createDataFrame([(0, text.upper()), (1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, text)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {0, 1}
+
+
 def test_templates():
     raw = b"He paid 30 euros to Mary Ann Smith in Paris. Then 3.5 kg left"
     hashed, kind, _, at = decontam.template(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
