@@ -21,9 +21,9 @@ WINDOW = 5
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 #: Documents with fewer words are not judged by the histogram.
-GUARD_CHAR_WORDS, GUARD_WORD_WORDS = 20, 40
+GUARD_CHAR_WORDS, GUARD_WORD_WORDS = 40, 80
 #: Largest distances of a document that is kept.
-MOST_CHAR, MOST_WORD = 0.2, 0.305
+MOST_CHAR, MOST_WORD = 0.3, 0.31
 #: Only the languages with most words, at most so many, become references, each with this many words at least.
 MOST_LANGUAGES, LEAST_REFERENCE_WORDS = 64, 200
 
