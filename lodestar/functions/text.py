@@ -142,3 +142,32 @@ def literal_shape(literal: Column) -> Column:
         .when(single & F.rlike(literal, F.lit(f"^(?i)/({'|'.join(ROOTS)})(/|$)")), "filesystem")
         .when(single & (F.octet_length(literal) <= 256) & ~F.rlike(literal, F.lit(r"\s")), "endpoint")
     )
+
+
+def bare_type(ty: Column) -> Column:
+    """A type without references and one layer each of Option, Result, Vec and Box: what flows."""
+    t = F.regexp_replace(F.trim(ty), r"^(?:&(?:'\w+ ?)?(?:mut )?)+", "")
+    for _ in range(2):
+        t = F.regexp_replace(t, r"^(?:Option|Result|Vec|Box)<([^,<>]+(?:<[^<>]*>)?)(?:,.*)?>$", "$1")
+    return F.regexp_replace(t, r"^(?:&(?:'\w+ ?)?(?:mut )?)+", "")
+
+
+def edge_semantics(callee_return: Column, callee_takes: Column) -> Column:
+    """Struct (kind, from_type, to_type) of a call: pass_through where the types agree, transform where they differ, side_effect without a result."""
+    a, b = bare_type(callee_takes), bare_type(callee_return)
+    kind = F.when(callee_return.isNull(), "side_effect").when(callee_takes.isNull(), "unknown").when(a == b, "pass_through").otherwise("transform")
+    return F.struct(kind.alias("kind"), a.alias("from_type"), b.alias("to_type"))
+
+
+def cfg_annotation(predicates: Column) -> Column:
+    """``[cfg(a && b)]``, or nothing without predicates."""
+    return F.when(F.size(predicates) > 0, F.concat(F.lit("[cfg("), F.array_join(predicates, " && "), F.lit(")]"))).otherwise(F.lit(""))
+
+
+def provenance(path: Column, head: Column) -> Column:
+    """generated, vendored or project, by parts of the path and marks in a file's first lines."""
+    return (
+        F.when(F.rlike(path, F.lit(r"(^|/)(generated|gen|target)(/|$)")) | F.rlike(F.lower(head), F.lit("@generated|do not edit|automatically generated|autogenerated|code generated")), "generated")
+        .when(F.rlike(path, F.lit(r"(^|/)(vendor|vendored|third_party)(/|$)")), "vendored")
+        .otherwise("project")
+    )

@@ -352,3 +352,92 @@ def runtime_coverage(code: CodeIndex, regions: DataFrame) -> DataFrame:
 def changed(code: CodeIndex, ranges: DataFrame) -> DataFrame:
     """Symbols whose span overlaps a changed range of their file."""
     return intervals.overlapping(code.symbols, ranges, "start_line", "end_line", "range_start", "range_end", ["file_path"])
+
+
+def lookup(code: CodeIndex, query: str) -> DataFrame:
+    """Functions by ``[fn:]path:line:name``, by ``path:line`` or ``path#Lline`` (innermost first), or by exact name."""
+    import re
+
+    q = query.removeprefix("fn:")
+    if m := re.fullmatch(r"(.+\.rs):(\d+):(\w+)", q):
+        d = code.functions.where(F.endswith("file_path", F.lit(m[1])) & (F.col("start_line") == int(m[2])) & (F.col("name") == m[3])).withColumn("score", F.lit(1.0))
+    elif m := re.fullmatch(r"(.+\.rs)(?::|#L)(\d+)", q):
+        line = F.lit(int(m[2]))
+        d = code.functions.where(F.endswith("file_path", F.lit(m[1])) & line.between(F.col("start_line"), F.col("end_line"))).withColumn("score", 1.0 / (F.col("end_line") - F.col("start_line") + 1))
+    else:
+        d = code.functions.where(F.col("name") == q).withColumn("score", F.lit(1.0))
+    return d.orderBy(F.desc("score"), "file_path", "start_line")
+
+
+def loose_candidates(code: CodeIndex, strict: bool = False) -> DataFrame:
+    """(caller_id, callee, line, column, target, mode): the loose resolver. By type qualifier, then by module of the path, then methods for
+    receivers; where the type qualifier fits nothing, all homonyms, or none if ``strict``."""
+    target = code.functions.select(F.col("fn_id").alias("target"), F.col("name").alias("t_name"), F.regexp_replace("owner_type", r"<.*", "").alias("t_owner"), F.col("kind_tag").alias("t_kind"), F.col("file_path").alias("t_file"))
+    sites = code.call_sites.where("caller_id IS NOT NULL").select("caller_id", "callee", "callee_base", "file_path", "line", "column").distinct()
+    d = sites.join(target, sites["callee_base"] == target["t_name"])
+    key = ["caller_id", "callee", "file_path", "line", "column"]
+    kind = text.type_qualifier(F.col("callee"))
+    d = d.withColumn("q", kind).withColumn("typed", F.col("q").isNull() | (F.col("t_owner") == F.col("q")))
+    site = Window.partitionBy(*key)
+    d = d.withColumn("any_typed", F.bool_or(F.coalesce("typed", F.lit(False))).over(site))
+    d = d.where(F.coalesce("typed", F.lit(False)) | (F.lit(not strict) & ~F.col("any_typed"))).withColumn("mode", F.when(F.col("any_typed"), "strict").otherwise("fell_back"))
+    last = F.try_element_at(text.module_segments(F.col("callee")), F.lit(-1))
+    in_module = F.contains("t_file", F.concat(F.lit("/"), last, F.lit("/"))) | F.contains("t_file", F.concat(F.lit("/"), last, F.lit(".")))
+    d = resolve.strict_or_all(d.withColumnRenamed("mode", "how"), key, F.coalesce(in_module, F.lit(False))).drop("mode")
+    dotted = F.rlike("callee", F.lit(r"^(receiver|[a-z_]\w*)\.\w+$"))
+    d = resolve.strict_or_all(d, key, ~dotted | (F.col("t_kind") != "function")).drop("mode")
+    return d.select("caller_id", "callee", "file_path", "line", "column", "target", F.col("how").alias("mode"))
+
+
+def callee_lists(code: CodeIndex) -> DataFrame:
+    """(caller_id, callees): what each function calls, in source order, duplicates kept."""
+    d = code.call_sites.where("caller_id IS NOT NULL").groupBy("caller_id").agg(F.sort_array(F.collect_list(F.struct("line", "column", "callee"))).alias("c"))
+    return d.select("caller_id", F.transform("c", lambda x: x["callee"]).alias("callees"))
+
+
+def reverse_suggestion(code: CodeIndex, source: str, target: str, limit: int = 3) -> DataFrame:
+    """Paths the other way round, for when there are none from source to target."""
+    return paths_between(code, target, source, limit=limit)[0]
+
+
+def parameter_literals(code: CodeIndex) -> DataFrame:
+    """(fn_id, position, literal): string literals that calls pass to a parameter, where the callee's name and position name one site only."""
+    sites = code.relation("string_sites").where("role = 'parameter'").select(F.col("owner").alias("fn_id"), F.col("owner_name").alias("callee_base"), "position")
+    alone = sites.withColumn("n", F.count("*").over(Window.partitionBy("callee_base", "position"))).where("n = 1")
+    given = code.call_sites.where("call_kind = 'function'").select("callee_base", F.posexplode("args").alias("position", "arg"))
+    literal = F.regexp_extract("arg", r'^(?:String::from ?\()?"((?:[^"\\]|\\.)*)"\)?(?:\.(?:to_string|to_owned|into)\(\))?$', 1)
+    return given.withColumn("literal", literal).where("literal <> ''").join(alone, ["callee_base", "position"]).select("fn_id", "position", "literal").distinct()
+
+
+def call_semantics(code: CodeIndex) -> DataFrame:
+    """(src, dst, semantics) of resolved calls: what the callee takes first and what it gives."""
+    f = code.functions.select(F.col("fn_id").alias("dst"), "return_type", F.regexp_extract(F.try_element_at(F.filter("parameters", lambda p: F.contains(p, F.lit(":"))), F.lit(1)), r":\s*(.*)$", 1).alias("takes"))
+    return resolved_edges(code).select("src", "dst").distinct().join(f, "dst").select("src", "dst", text.edge_semantics(F.col("return_type"), F.nullif("takes", F.lit(""))).alias("semantics"))
+
+
+def file_provenance(code: CodeIndex) -> DataFrame:
+    """(file_path, provenance) of each file."""
+    head = F.array_join(F.slice(text.lines(F.col("content")), 1, 40), "\n")
+    return code.files.select("file_path", text.provenance(F.col("file_path"), head).alias("provenance"))
+
+
+def snapshot_mismatches(code: CodeIndex, snapshot: DataFrame) -> DataFrame:
+    """Paths of a coverage snapshot (file_path, content) that are missing here or differ: these make its figures void."""
+    here = code.files.select("file_path", F.col("content").alias("here"))
+    return snapshot.join(here, "file_path", "left").where(F.col("here").isNull() | (F.col("here") != F.col("content"))).select("file_path")
+
+
+def call_tree(edges: DataFrame, root: str, depth: int = 3) -> str:
+    """A call graph (bounded by its scope) as an indented text, each function expanded at its first place."""
+    follow: dict[str, list[str]] = {}
+    for r in edges.orderBy("src", "dst").toLocalIterator():
+        follow.setdefault(r["src"], []).append(r["dst"])
+    out, seen, todo = [], set(), [(root, 0)]
+    while todo:
+        node, level = todo.pop()
+        again = node in seen
+        out.append("  " * level + node + (" (above)" if again else ""))
+        if not again and level < depth:
+            seen.add(node)
+            todo += [(n, level + 1) for n in reversed(follow.get(node, []))]
+    return "\n".join(out)

@@ -202,3 +202,33 @@ def test_changed_and_sources(spark, code, tmp_path):
 def test_extract_is_total_on_odd_code():
     out = extract("a.rs", "macro_rules! m { ($x:expr) => { $x } }\nm!{ fn z() {} }\nextern \"C\" { fn c(x: i32); }\nunion U { a: u8 }\nimpl<T> Tr<T> for &'a S<T> where T: X { type O = T; }\nconst _: () = { call(); };\n")
     assert [f["name"] for f in out.functions] == ["c"] and out.impls[0]["type_name"] == "S" or out.impls
+
+
+def test_lookup_by_id_line_and_name(code):
+    assert names(C.lookup(code, "src/p.rs:1:run"), "fn_id") == ["src/p.rs:1:run"] == names(C.lookup(code, "fn:p.rs:1:run"), "fn_id")
+    assert [r.name for r in C.lookup(code, "p.rs#L2").collect()] == ["deep"]
+    assert names(C.lookup(code, "run"), "fn_id") == ["src/p.rs:1:run", "src/q.rs:1:run"]
+
+
+def test_loose_resolver_narrows_by_qualifier(spark):
+    src = "struct A; struct B;\nimpl A { fn new() {} fn go(&self) {} }\nimpl B { fn new() {} }\nfn go() {}\nfn f(a: A) { A::new(); a.go(); C::new(); }\n"
+    c = CodeIndex.from_strings(spark, {"src/lib.rs": src})
+    got = {(r.callee, r.target, r.mode) for r in C.loose_candidates(c).collect()}
+    assert ("A::new", "src/lib.rs:2:new", "strict") in got and ("A::new", "src/lib.rs:3:new", "strict") not in got
+    assert {t for k, t, _ in got if k == "a.go"} == {"src/lib.rs:2:go"}
+    assert {(t, m) for k, t, m in got if k == "C::new"} == {("src/lib.rs:2:new", "fell_back"), ("src/lib.rs:3:new", "fell_back")}
+    assert not [r for r in C.loose_candidates(c, strict=True).collect() if r.callee == "C::new"]
+
+
+def test_smaller_relations(spark, code):
+    lists = {r.caller_id.split(":")[-1]: r.callees for r in C.callee_lists(code).collect()}
+    assert lists["x"] == ["p::run"] and lists["main"] == ["helper", "x", "y"]
+    assert C.reverse_suggestion(code, "deep", "main").count() == 1
+    c = CodeIndex.from_strings(spark, {"src/gen/a.rs": 'fn year(y: &str) {}\nfn f() { year("1999"); year("2001"); }\n', "src/v.rs": "// @generated\nfn make(n: u32) -> Option<u32> { None }\nfn g() { make(1); }\n"})
+    assert names(C.parameter_literals(c), "literal") == ["1999", "2001"]
+    assert dict(names(C.file_provenance(c), "file_path", "provenance")) == {"src/gen/a.rs": "generated", "src/v.rs": "generated"}
+    kinds = {r.dst.split(":")[-1]: r.semantics.kind for r in C.call_semantics(c).collect()}
+    assert kinds == {"year": "side_effect", "make": "pass_through"}
+    snap = spark.createDataFrame([("src/v.rs", "other"), ("src/none.rs", "")], "file_path string, content string")
+    assert names(C.snapshot_mismatches(c, snap), "file_path") == ["src/none.rs", "src/v.rs"]
+    assert C.call_tree(C.call_graph(code, "x"), names(C.lookup(code, "x"), "fn_id")[0]).splitlines()[1] == "  src/p.rs:1:run"
