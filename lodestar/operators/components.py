@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import materialise
+from lodestar.session import drop, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(before)
         now = _state(e)
         if now == state:
             break

@@ -18,7 +18,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
+        if known.isDefined():
+            where = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            where = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
+        else:
+            raise ValueError("a cluster needs a shared folder for intermediate tables: set spark.checkpoint.dir")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -28,7 +33,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def drop(stored: DataFrame) -> None:
+    """Deletes the table of a materialised DataFrame that nothing reads any more."""
+    path = getattr(stored, "_stored_at", None)
+    if path:
+        spark = stored.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def document_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most so many rows at a time to Python workers: rows are whole documents, and Spark's 10,000 of them fill both sides' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
