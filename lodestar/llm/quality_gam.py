@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.sampling import stratified_ids
 from lodestar.llm.textblock import pieces, text_buffers, window_hashes, word_hashes, word_spans
+from lodestar.session import document_batches
 
 #: The bound of the labelled sample that is learned from, in rows.
 SAMPLE_ROWS = 6000
@@ -184,7 +185,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Learns from at most about ``rows`` labelled documents, as many of each label if there are. The labels' shares are those of all labelled rows."""
-    known = labels.select(id_col, label_col).dropDuplicates([id_col])
+    known = labels.groupBy(id_col).agg(F.min(label_col).alias(label_col))  # of conflicting labels the smaller
     share = known.where(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()["p"]
     ids = stratified_ids(known, id_col, label_col, rows)
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
@@ -207,6 +208,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(df: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row: 0 to 1, higher where label 1 is likelier."""
+    document_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
