@@ -20,14 +20,14 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.textblock import pieces, text_buffers
+from lodestar.llm.textblock import pieces, release_memory, text_buffers
+from lodestar.session import document_batches
 
 #: Unsplit stretches with more characters are halved.
 LEAF_CHARS = 512
@@ -35,7 +35,7 @@ WINDOW_CHARS = 48
 #: Texts with more words are halved, and windows between words begin with so many.
 LEAF_WORDS = 1024
 WINDOW_WORDS = 2
-#: Words that a worker remembers; beyond it starts anew.
+#: Words that a task remembers; beyond it starts anew.
 MEMORY = 500_000
 #: Texts are handled in batches of about so many bytes, which bounds a worker's memory.
 BATCH_CHARS = 1_000_000
@@ -224,12 +224,6 @@ class TreeEncoder:
         return self.model.decode_batch([x.tolist() for x in many], skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
-    """A worker's encoder, with the words it remembers."""
-    return TreeEncoder(path, leaf_chars)
-
-
 def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, digests: bool = False, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """One row for each row of ``df``: the id, ``n_tokens`` and, as asked for, ``ids`` (array<int>), ``decoded`` and their SHA-256 digests.
 
@@ -237,10 +231,11 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """
     id_type = df.schema[id_col].dataType.simpleString()
     cols = [f"`{id_col}` {id_type}", "n_tokens bigint"] + ["ids array<int>"] * keep_ids + ["decoded string"] * keep_decoded + ["ids_sha256 string", "decoded_sha256 string"] * digests
+    document_batches(df.sparkSession)
     source = df.select(id_col, text_col)
 
     def run(batches):
-        coder = encoder(tokenizer, leaf_chars)
+        coder = TreeEncoder(tokenizer, leaf_chars)
         for batch in batches:
             raw, bounds, _ = text_buffers(batch.column(1))
             for lo, hi in pieces(bounds, BATCH_CHARS):
@@ -256,5 +251,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                     out.append(pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()))
                     out.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [id_col, "n_tokens"] + ["ids"] * keep_ids + ["decoded"] * keep_decoded + ["ids_sha256", "decoded_sha256"] * digests)
+        del coder
+        release_memory()  # the worker lives on and serves other operators
 
     return source.mapInArrow(run, ", ".join(cols))

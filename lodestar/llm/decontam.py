@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import bloom
 from lodestar.llm.textblock import U64, pieces, text_buffers, window_hashes, word_hashes
+from lodestar.session import document_batches
 
 WIDTH = 8
 SHORTEST = 5
@@ -206,6 +207,7 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, at_token, reparameterised) of each document and benchmark item that match."""
     spark = df.sparkSession
+    document_batches(spark)
     widths = list(range(SHORTEST, WIDTH + 1))
     items = benchmark.select(F.col(item_id_col).cast("bigint"), F.col(item_text_col)).mapInArrow(lambda b: _rows(b, widths, None), _HIT_DDL)
     items = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("width").alias("item_width"))

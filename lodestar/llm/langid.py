@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.sampling import stratified_ids
-from lodestar.llm.textblock import pieces, text_buffers
+from lodestar.llm.textblock import pieces, release_memory, text_buffers
+from lodestar.session import document_batches
 
 #: The bound of the sample that is learned from, in rows.
 SAMPLE_ROWS = 2400
@@ -165,6 +166,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_cols: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """``pass_cols`` of each row, with the predicted language, its score and whether the text is rejected (too little certainty, or
     no letter), under these ``names``."""
+    document_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     out_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pass_cols] + [f"{n} {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True)])
     text_at = len(pass_cols)
@@ -174,9 +176,11 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_c
         for batch in batches:
             column = batch.column(text_at)
             raw, bounds, _ = text_buffers(column)
-            letter = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum(_ASCII_LETTER[raw], out=letter[1:])
-            has = letter[bounds[1:]] > letter[bounds[:-1]]
+            has = np.zeros(len(bounds) - 1, bool)
+            for lo, hi in pieces(bounds, _PIECE):
+                filled = lo + np.flatnonzero(bounds[lo + 1 : hi + 1] > bounds[lo:hi])
+                if len(filled):
+                    has[filled] = np.logical_or.reduceat(_ASCII_LETTER[raw[bounds[lo] : bounds[hi]]], bounds[filled] - bounds[lo])
             for k in np.flatnonzero(~has & (bounds[1:] > bounds[:-1])):
                 has[k] = any(c.isalpha() for c in column[int(k)].as_py())
             if m.languages:
@@ -187,5 +191,6 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", pass_c
                 labels, score = ["und"] * len(has), np.zeros(len(has))
             rejected = ~has | (score < m.threshold)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(text_at)), pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*pass_cols, *names])
+        release_memory()
 
     return df.select(*[F.col(f"`{c}`") for c in pass_cols], F.col(text_col).alias("_text")).mapInArrow(run, out_schema)

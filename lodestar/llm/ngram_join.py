@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bloom
-from lodestar.llm.textblock import U64, mix, pieces, text_buffers, window_hashes, word_hashes, word_spans
+from lodestar.llm.textblock import U64, mix, pieces, release_memory, text_buffers, window_hashes, word_hashes, word_spans
 from lodestar.operators.components import connected_components
-from lodestar.session import materialise, shuffle_partitions
+from lodestar.session import document_batches, materialise, shuffle_partitions
 
 WIDTH = 5
 #: Similarity of 0.8 or more, as a fraction.
@@ -91,9 +91,6 @@ def _subsets(n: int, size: int) -> list[list[int]]:
     return [list(c) for c in combinations(range(n), size)]
 
 
-_TAGS: dict[int, tuple] = {}
-
-
 def signatures(elements: np.ndarray, band: int, top: int, level_seeds: list = _LEVEL_SEED) -> np.ndarray:
     """All signatures of a set (sorted hashes) under one band."""
     k, firsts, seconds, k2, spare = layout(top)
@@ -216,6 +213,8 @@ def _signature_rows(buckets: int, width: int):
                     sigs, docs, info, size = [], [], [], 0
         if info:
             yield batch_of(list(rows(sigs, docs, info)))
+        seen.clear()
+        release_memory()
 
     return run
 
@@ -265,6 +264,8 @@ def _runs(batches):
         part = found[lo : lo + 1000]
         none = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array([r for r, _ in part], pa.int64()), pa.array([m for _, m in part], pa.list_(pa.int64()))], names)
+    del sig, doc, order, new, keep, found, done
+    release_memory()
 
 
 def _sketch_filter(batches):
@@ -352,6 +353,7 @@ def _folded(sketches, width: int) -> np.ndarray:
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``df``: the size of its set and the smallest id that links reach from it."""
     spark = df.sparkSession
+    document_batches(spark)
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     parts = shuffle_partitions(spark)

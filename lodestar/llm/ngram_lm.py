@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.textblock import U64, mix, pieces, text_buffers, word_hashes, word_spans
-from lodestar.session import materialise, shuffle_partitions
+from lodestar.session import document_batches, materialise, shuffle_partitions
 
 BACKOFF = 0.4
 MIN_COUNT = 2
@@ -232,6 +232,7 @@ def _score(total_words: int, min_count: int, backoff: float):
 def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each row with an id: the sum and mean of the natural logarithms of its words' scores."""
     spark = df.sparkSession
+    document_batches(spark)
     parts = shuffle_partitions(spark)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col))
     blocks = materialise(docs.mapInArrow(_blocks, _BLOCKS_DDL), "lm-blocks")

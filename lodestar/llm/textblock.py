@@ -14,11 +14,19 @@ import pyarrow as pa
 
 U64 = np.uint64
 try:  # large arrays go back to the system as soon as they are freed, which keeps workers small
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)
 except (AttributeError, OSError):  # another C library
-    pass
+    _libc = None
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+def release_memory() -> None:
+    """Gives what is free in this process back to the system."""
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 PIECE = 1 << 20
 
 WHITE = np.zeros(256, bool)
