@@ -299,12 +299,17 @@ _EDGES = """WITH RECURSIVE edges AS (SELECT src, dst FROM (SELECT src, dst, row_
  FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)) WHERE k <= 3)"""
 
 
-def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small graph: up to three suppliers' nations for each customers' nation, by a fixed order of the pairs."""
+def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a customers' nation and another one that supplies it."""
     c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li, s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = c.join(o, c["c_custkey"] == o["o_custkey"]).join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = j.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    return j.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+
+
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small graph: up to three suppliers' nations for each customers' nation, by a fixed order of the pairs."""
+    pairs = nation_pairs(spark, sf_dir)
     return materialise(rollup.top_per_group(pairs, ["src"], [F.expr("(src * 7 + dst * 11) % 25"), "dst"], 3), "nation-edges")
 
 
@@ -363,6 +368,49 @@ def fixpoint_sink(spark, sf_dir):
     return graph.fixpoint(nation_edges(spark, sf_dir), _node(spark, 0, 2, 4, 5, 8, 11, 13, 16, 19, 21, 24), nodes)
 
 
+#: The queries named ..._whole are those above over all pairs of nations.
+_PAIRS = """WITH RECURSIVE edges AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst
+ FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)"""
+_FLAGGED = (0, 2, 4, 5, 8, 11, 13, 16, 19, 21, 24)
+
+
+def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(nation_pairs(spark, sf_dir), "nation-pairs")
+
+
+@register(_PAIRS + ", b(node, dist) AS (SELECT 0, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 25) SELECT node::INT AS node, min(dist)::INT AS dist FROM b GROUP BY node")
+def bfs_distance_whole(spark, sf_dir):
+    return graph.bfs(whole_graph(spark, sf_dir), _node(spark, 0))
+
+
+@register(_PAIRS + ", b(node, dist) AS (SELECT 3, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 2) SELECT node::INT AS node, min(dist)::INT AS dist FROM b WHERE dist > 0 GROUP BY node")
+def neighborhood_k2_whole(spark, sf_dir):
+    return graph.neighbourhood(whole_graph(spark, sf_dir), _node(spark, 3), 2)
+
+
+@register(_PAIRS + ", b(node, root) AS (SELECT unnest([1, 7, 20]), unnest([1, 7, 20]) UNION SELECT dst, root FROM b JOIN edges ON node = src) SELECT node::INT AS node, count(DISTINCT root) AS n_tests FROM b GROUP BY node")
+def reach_sets_whole(spark, sf_dir):
+    return graph.reachable_tests(whole_graph(spark, sf_dir), _node(spark, 1, 7, 20))
+
+
+@register(_PAIRS + _PATHS.format(targets="3"))
+def bounded_paths_whole(spark, sf_dir):
+    found, _ = graph.paths(whole_graph(spark, sf_dir), _node(spark, 0), _node(spark, 3), max_nodes=6, limit=None, max_expansions=None)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+
+
+@register(_PAIRS + _PATHS.format(targets="3, 11, 17"))
+def paths_to_module_whole(spark, sf_dir):
+    found, _ = graph.paths(whole_graph(spark, sf_dir), _node(spark, 0), _node(spark, 3, 11, 17), max_nodes=6, limit=None, max_expansions=None)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+
+
+@register()
+def fixpoint_sink_whole(spark, sf_dir):
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    return graph.fixpoint(whole_graph(spark, sf_dir), _node(spark, *_FLAGGED), nodes)
+
+
 _LITERALS = {"customer": ("c_nationkey", "c_mktsegment"), "orders": ("year(o_orderdate)", "o_orderpriority")}
 _DECLARED = " UNION ALL ".join(f"SELECT '{t}' || ({k}) AS owner, 'kind' AS name, {v} AS literal FROM {t}" for t, (k, v) in _LITERALS.items())
 
