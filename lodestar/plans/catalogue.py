@@ -393,6 +393,12 @@ def reach_sets_whole(spark, sf_dir):
     return graph.reachable_tests(whole_graph(spark, sf_dir), _node(spark, 1, 7, 20))
 
 
+@register(_PAIRS + """ SELECT node::INT AS node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, CASE WHEN sum(i) > 0 AND sum(o) > 0 THEN 'transit' WHEN sum(o) > 0 THEN 'entry' ELSE 'endpoint' END AS role
+ FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node""")
+def degree_roles_whole(spark, sf_dir):
+    return rollup.degree_roles(whole_graph(spark, sf_dir), "src", "dst")
+
+
 @register(_PAIRS + _PATHS.format(targets="3"))
 def bounded_paths_whole(spark, sf_dir):
     found, _ = graph.paths(whole_graph(spark, sf_dir), _node(spark, 0), _node(spark, 3), max_nodes=6, limit=None, max_expansions=None)

@@ -53,6 +53,15 @@ def test_walks(spark, folder, pairs):
     assert rows(spark, folder, "reach_sets_whole") == {(k, n) for k in range(25) if (n := sum(k in t for t in tests))}
 
 
+def test_degrees(spark, folder, pairs):
+    want = set()
+    for k in {x for p in pairs for x in p}:
+        n_in, n_out = sum(b == k for _, b in pairs), sum(a == k for a, _ in pairs)
+        want.add((k, n_in, n_out, "transit" if n_in and n_out else "entry" if n_out else "endpoint"))
+    assert any(r[0] % 2 and r[2] > 3 for r in want)
+    assert rows(spark, folder, "degree_roles_whole") == want
+
+
 def test_paths(spark, folder, pairs):
     assert rows(spark, folder, "bounded_paths_whole") == {(">".join(map(str, p)), len(p)) for p in all_paths(pairs, 0, 3, 6)}
     goals = {3, 11, 17}
