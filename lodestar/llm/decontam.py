@@ -7,8 +7,11 @@ hash-joined with them. A document and an item match if the matching windows on o
 and its slots are filled consistently: equal slot values of the item stand for equal ones of the document, and different ones
 for different ones. So re-parameterised questions are found as well as verbatim ones.
 
-Null and empty texts match nothing. An item with fewer than WIDTH tokens is one window of its own length, if it has
-SHORTEST tokens at least; shorter ones match nothing. Long texts are read whole. Repeated rows and ids are compared as
+Items that are short, or have windows with too few literal words, also give windows of their single words as they are (in lower case), which
+match exact copies at any length and any number of slots; so a one-word item matches each text that has the word.
+
+Null and empty texts match nothing. An item with fewer than WIDTH tokens is one window of its own length: of template tokens if it has
+SHORTEST of them at least, and of single words. Long texts are read whole. Repeated rows and ids are compared as
 they come, and give one row for each id and item. Extra columns are not read. Empty tables give an empty result.
 """
 
@@ -54,6 +57,8 @@ _FOLD = np.arange(0x800)
 _FOLD[0x80:] = [ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x800 else c for c in range(0x80, 0x800)]
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+#: Kinds of windows.
+TEMPLATE, VERBATIM = range(2)
 _PLACE = {NUMBER: U64(0x4E554D4245523031), NAME: U64(0x4E414D45303030F1), UNIT: U64(0x554E495430303031)}
 _unit_hashes = None
 
@@ -82,8 +87,8 @@ def fold_case(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, upper
 
 
-def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, kind, value hash) of all tokens, and for each document the index of its first (one more at the end)."""
+def single_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, value hash, whether a sentence begins) of all words, and for each document the index of its first (one more at the end)."""
     word = _ALNUM[data]
     if len(data) > 2:
         digit = _DIGIT[data]
@@ -101,7 +106,7 @@ def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     value = word_hashes(folded, starts, ends, lower=True)
     n = len(starts)
     if not n:
-        return value, np.zeros(0, np.int8), value, at
+        return np.zeros(0, np.int8), value, np.zeros(0, bool), at
     kind = np.zeros(n, np.int8)
     kind[_DIGIT[data[starts]]] = NUMBER
     doc_first = np.zeros(n, bool)
@@ -119,6 +124,13 @@ def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if after.any():
         unit = np.flatnonzero(after & (kind == LITERAL))
         kind[unit[np.isin(value[unit], _units())]] = UNIT
+    return kind, value, fresh, at
+
+
+def joined_names(kind: np.ndarray, value: np.ndarray, fresh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``template`` of words, and the index of each token's first word."""
+    n = len(kind)
+    group = np.arange(n)
     again = np.zeros(n, bool)
     again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~fresh[1:]
     if again.any():
@@ -130,17 +142,22 @@ def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hashed = value.copy()
     for k, place in _PLACE.items():
         hashed[kind == k] = place
-    return hashed, kind, value, at
+    return hashed, kind, value, at, group
+
+
+def template(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, kind, value hash) of all tokens, and for each document the index of its first (one more at the end)."""
+    return joined_names(*single_words(data, bounds))[:4]
 
 
-def windows(hashed: np.ndarray, kind: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first token, hash) of the windows inside documents that have enough literal words."""
+def windows(hashed: np.ndarray, kind: np.ndarray, at: np.ndarray, width: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first token, hash) of the windows inside documents that have enough literal words, or ``least``."""
     n = len(hashed) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     literal = np.zeros(len(kind) + 1, np.int32)
     np.cumsum(kind == LITERAL, out=literal[1:])
-    ok = literal[width:] - literal[:-width] >= min(LITERALS, width - 1)
+    ok = literal[width:] - literal[:-width] >= (min(LITERALS, width - 1) if least is None else least)
     for k in range(1, width):  # windows that would run into the next document
         cut = at[1:] - k
         ok[cut[(cut >= 0) & (cut < n)]] = False
@@ -148,33 +165,53 @@ def windows(hashed: np.ndarray, kind: np.ndarray, at: np.ndarray, width: int) ->
     return found, window_hashes(hashed, width)[found] ^ U64(width)
 
 
-_HIT = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.binary()), ("width", pa.int32()), ("tokens", pa.int32())])
-_HIT_DDL = "id bigint, h bigint, pos int, slots binary, width int, tokens int"
+_HIT = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("token", pa.int32()), ("slots", pa.binary()), ("kind", pa.int32()), ("width", pa.int32()), ("tokens", pa.int32())])
+_HIT_DDL = "id bigint, h bigint, pos int, token int, slots binary, kind int, width int, tokens int"
 
 
-def _rows(batches, widths, words):
-    """One row for each window: its document, hash, position in template tokens and slot values (8 bytes a token, 0 for literals).
-    ``words``: a Bloom filter's, or None for all windows of items."""
+def _sparse(count: np.ndarray, n_words: np.ndarray, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an item is short, or has a template window with too few literal words."""
+    owner = np.searchsorted(at, found, "right") - 1
+    return (n_words <= WIDTH) | (count < WIDTH) | (np.bincount(owner, minlength=len(count)) < count - WIDTH + 1)
+
+
+def _rows(batches, shapes, words):
+    """One row for each window: its document, hash, position in tokens of its kind and in template tokens, and slot values (8 bytes a token,
+    0 for literals). ``shapes``: the (kind, width) to look for. ``words``: a Bloom filter's, or None for all windows of items."""
     for batch in batches:
         ids = batch.column(0)
         raw, bounds, _ = text_buffers(batch.column(1))
         out: list[tuple] = []
         for lo, hi in pieces(bounds):
-            hashed, kind, value, at = template(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            single, plain, fresh, first = single_words(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            hashed, kind, value, at, group = joined_names(single, plain, fresh, first)
             slot = np.where(kind == LITERAL, U64(0), value | U64(1))
             count = at[1:] - at[:-1]
-            for width in widths:
-                found, h = windows(hashed, kind, at, width)
+            if words is None:
+                sparse = _sparse(count, first[1:] - first[:-1], windows(hashed, kind, at, WIDTH)[0], at)
+            for form, width in shapes:
+                if form == TEMPLATE:
+                    begin, n, slots, (found, h) = at, count, slot, windows(hashed, kind, at, width)
+                else:
+                    begin, n, slots = first, first[1:] - first[:-1], np.where(single == NUMBER, plain | U64(1), U64(0))
+                    found, h = windows(plain, single, first, width, 0)
+                h = h ^ U64(form << 8)
                 if words is not None and len(found):
                     keep = bloom.might_contain(words, h.view(np.int64))
                     found, h = found[keep], h[keep]
-                owner = np.searchsorted(at, found, "right") - 1
+                owner = np.searchsorted(begin, found, "right") - 1
                 if words is None:  # an item has windows of WIDTH, or one of its own length
-                    keep = (count[owner] == width) if width < WIDTH else np.ones(len(found), bool)
+                    keep = (n[owner] == width) if width < WIDTH else np.ones(len(found), bool)
+                    if form == VERBATIM:
+                        keep &= sparse[owner]
+                    found, h, owner = found[keep], h[keep], owner[keep]
+                elif form == VERBATIM and width < WIDTH and len(found):  # whole items: the first copy in a document says it all
+                    keep = np.sort(np.unique(np.stack([owner.astype(U64), h], axis=1), axis=0, return_index=True)[1])
                     found, h, owner = found[keep], h[keep], owner[keep]
-                for f, x, d in zip(found.tolist(), h.view(np.int64).tolist(), owner.tolist(), strict=True):
+                token = found if form == TEMPLATE else np.searchsorted(group, found, "right") - 1
+                for f, x, d, t in zip(found.tolist(), h.view(np.int64).tolist(), owner.tolist(), token.tolist(), strict=True):
                     if (i := ids[lo + d].as_py()) is not None:
-                        out.append((i, x, f - int(at[d]), slot[f : f + width].tobytes(), width, int(count[d])))
+                        out.append((i, x, f - int(begin[d]), t - int(at[d]), slots[f : f + width].tobytes(), form, width, int(n[d])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _HIT, strict=True)], schema=_HIT)
 
@@ -186,9 +223,9 @@ def _consistent(pairs: list[tuple[int, int]]) -> bool:
 
 
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best alignment of one document and item, if it is good enough."""
+    """The best alignment of one document and item, if it is good enough; by templates if single words cover no more."""
     best = None
-    for _, g in pdf.groupby(pdf["pos"] - pdf["item_pos"], sort=True):
+    for (_, by_word), g in pdf.groupby([pdf["pos"] - pdf["item_pos"], pdf["kind"] != TEMPLATE], sort=True):
         covered: set[int] = set()
         pairs = set()
         for p, w, a, b in zip(g["item_pos"], g["width"], g["item_slots"], g["slots"], strict=True):
@@ -197,23 +234,23 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
             pairs |= {(int(x[k]), int(y[k])) for k in np.flatnonzero(x)}
         share = len(covered) / int(g["item_tokens"].iloc[0])
         if share >= COVERAGE and _consistent(sorted(pairs)):
-            row = (share, len(set(g["item_pos"])), int(g["pos"].min()), any(a != b for a, b in pairs))
-            if best is None or row[:2] > best[:2]:
+            row = (share, not by_word, len(set(g["item_pos"])), int(g["token"].min()), any(a != b for a, b in pairs))
+            if best is None or row[:3] > best[:3]:
                 best = row
     cols = ["doc_id", "item_id", "coverage", "n_windows", "at_token", "reparameterised"]
-    return pd.DataFrame([(int(pdf["id"].iloc[0]), int(pdf["item_id"].iloc[0]), *best)] if best else [], columns=cols)
+    return pd.DataFrame([(int(pdf["id"].iloc[0]), int(pdf["item_id"].iloc[0]), best[0], *best[2:])] if best else [], columns=cols)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, at_token, reparameterised) of each document and benchmark item that match."""
     spark = df.sparkSession
     document_batches(spark)
-    widths = list(range(SHORTEST, WIDTH + 1))
-    items = benchmark.select(F.col(item_id_col).cast("bigint"), F.col(item_text_col)).mapInArrow(lambda b: _rows(b, widths, None), _HIT_DDL)
-    items = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("width").alias("item_width"))
-    found = items.agg(F.count("*").alias("n"), F.collect_set("item_width").alias("w")).first()
+    shapes = [(TEMPLATE, w) for w in range(SHORTEST, WIDTH + 1)] + [(VERBATIM, w) for w in range(1, WIDTH + 1)]
+    items = benchmark.select(F.col(item_id_col).cast("bigint"), F.col(item_text_col)).mapInArrow(lambda b: _rows(b, shapes, None), _HIT_DDL)
+    items = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("kind").alias("item_kind"), F.col("width").alias("item_width"))
+    found = items.agg(F.count("*").alias("n"), F.collect_set(F.struct("item_kind", "item_width")).alias("w")).first()
     words = spark.sparkContext.broadcast(bloom.build(items, "h", bloom.size_for(found["n"])))
-    present = sorted(found["w"]) or [WIDTH]
+    present = sorted(tuple(x) for x in found["w"]) or [(TEMPLATE, WIDTH)]
     hits = df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(lambda b: _rows(b, present, words.value), _HIT_DDL)
-    joined = hits.join(items, (hits["h"] == items["h"]) & (F.col("width") == F.col("item_width"))).drop(items["h"])
+    joined = hits.join(items, (hits["h"] == items["h"]) & (F.col("kind") == F.col("item_kind")) & (F.col("width") == F.col("item_width"))).drop(items["h"])
     return joined.groupBy("id", "item_id").applyInPandas(_judge, "doc_id bigint, item_id bigint, coverage double, n_windows bigint, at_token bigint, reparameterised boolean")

@@ -142,6 +142,19 @@ def test_verbatim_and_reparameterised_items(spark):
     assert got[1, 1].reparameterised and not got[0, 2].reparameterised
 
 
+def test_short_and_dense_items_are_found_verbatim(spark):
+    items = ["What is 12 + 7 + 30 + 4 + 9 + 15?", "What is 3 + 4?", "Name Anna Berta Carl Dora Emil Fritz Gerd Hans Ida and Karl", "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 to the sum of all the other given numbers", "Zyx"]
+    filler = "Some clean words stand around here, and say nothing at all of note."
+    texts = [f"{filler} {t} {filler}" for t in items] + [f"{filler} {t.upper()}" for t in items[:2]]
+    texts += [filler * 3, "What is 3 + 5? What is 4 + 3?", "What is 12 + 7 + 30 + 4 + 9 + 16?", f"Zyx and zyx again. {items[1]} {items[1]}", items[0].replace(" + ", "\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, k) for k in range(5)} | {(5, 0), (6, 1), (10, 1), (10, 4), (11, 0)} and len(rows) == 10
+    assert all(r.coverage == 1.0 and not r.reparameterised for r in rows)
+    assert {(r.doc_id, r.item_id): r.at_token for r in rows}[1, 1] == 13
+
+
 def test_case_of_accented_letters_is_folded(spark):
     text = "Éai éonleeau pour an êonqueé ñivi äi Ж éenaitre oiaux"
     docs = spark.createDataFrame([(0, text.upper()), (1, text)], "doc_id long, text string")
