@@ -7,6 +7,7 @@ hash-joined with them. A document and an item match if the matching windows on o
 and its slots are filled consistently: equal slot values of the item stand for equal ones of the document, and different ones
 for different ones. So re-parameterised questions are found as well as verbatim ones.
 
+All windows are also taken with names as literal words, which no change of case hides; the better alignment counts.
 Items that are short, or have windows with too few literal words, also give windows of their single words as they are (in lower case), which
 match exact copies at any length and any number of slots; so a one-word item matches each text that has the word.
 
@@ -58,7 +59,7 @@ _FOLD[0x80:] = [ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x8
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Kinds of windows.
-TEMPLATE, VERBATIM = range(2)
+TEMPLATE, VERBATIM, FOLDED = range(3)
 _PLACE = {NUMBER: U64(0x4E554D4245523031), NAME: U64(0x4E414D45303030F1), UNIT: U64(0x554E495430303031)}
 _unit_hashes = None
 
@@ -127,6 +128,20 @@ def single_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return kind, value, fresh, at
 
 
+def folded_template(kind: np.ndarray, value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(template hash, kind) of words whose names are literals, so that both are the same in any case."""
+    after = np.zeros(len(kind), bool)
+    after[1:] = kind[:-1] == NUMBER
+    after[at[:-1][at[1:] > at[:-1]]] = False
+    unit = np.flatnonzero(after & (kind == NAME))
+    kind = np.where(kind == NAME, np.int8(LITERAL), kind)
+    kind[unit[np.isin(value[unit], _units())]] = UNIT
+    hashed = value.copy()
+    for k in (NUMBER, UNIT):
+        hashed[kind == k] = _PLACE[k]
+    return hashed, kind
+
+
 def joined_names(kind: np.ndarray, value: np.ndarray, fresh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``template`` of words, and the index of each token's first word."""
     n = len(kind)
@@ -187,14 +202,16 @@ def _rows(batches, shapes, words):
             hashed, kind, value, at, group = joined_names(single, plain, fresh, first)
             slot = np.where(kind == LITERAL, U64(0), value | U64(1))
             count = at[1:] - at[:-1]
+            folded, case_kind = folded_template(single, plain, first)
             if words is None:
                 sparse = _sparse(count, first[1:] - first[:-1], windows(hashed, kind, at, WIDTH)[0], at)
             for form, width in shapes:
                 if form == TEMPLATE:
                     begin, n, slots, (found, h) = at, count, slot, windows(hashed, kind, at, width)
                 else:
-                    begin, n, slots = first, first[1:] - first[:-1], np.where(single == NUMBER, plain | U64(1), U64(0))
-                    found, h = windows(plain, single, first, width, 0)
+                    shown = (case_kind == NUMBER) | ((case_kind == UNIT) & (form == FOLDED))
+                    begin, n, slots = first, first[1:] - first[:-1], np.where(shown, plain | U64(1), U64(0))
+                    found, h = windows(folded, case_kind, first, width) if form == FOLDED else windows(plain, single, first, width, 0)
                 h = h ^ U64(form << 8)
                 if words is not None and len(found):
                     keep = bloom.might_contain(words, h.view(np.int64))
@@ -245,7 +262,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, coverage, n_windows, at_token, reparameterised) of each document and benchmark item that match."""
     spark = df.sparkSession
     document_batches(spark)
-    shapes = [(TEMPLATE, w) for w in range(SHORTEST, WIDTH + 1)] + [(VERBATIM, w) for w in range(1, WIDTH + 1)]
+    shapes = [(k, w) for k in (TEMPLATE, FOLDED) for w in range(SHORTEST, WIDTH + 1)] + [(VERBATIM, w) for w in range(1, WIDTH + 1)]
     items = benchmark.select(F.col(item_id_col).cast("bigint"), F.col(item_text_col)).mapInArrow(lambda b: _rows(b, shapes, None), _HIT_DDL)
     items = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("kind").alias("item_kind"), F.col("width").alias("item_width"))
     found = items.agg(F.count("*").alias("n"), F.collect_set(F.struct("item_kind", "item_width")).alias("w")).first()

@@ -155,6 +155,18 @@ def test_short_and_dense_items_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id): r.at_token for r in rows}[1, 1] == 13
 
 
+def test_no_case_hides_an_item_with_names(spark):
+    item = BENCH[0][1]
+    far = "Then a cyclist rode 30 Miles past Anna and Bert along the river bank, at noon."
+    texts = [item.upper(), item.lower(), item.title(), item.upper().replace("12", "30"), item.upper().replace("5 APPLES TO BOB", "7 PEARS WITH BERT"), far.upper(), far.lower()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, far)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    assert {(0, 1), (1, 1), (2, 1), (3, 1), (5, 2), (6, 2)} <= set(got) <= {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2)}
+    assert all(got[k].coverage == 1.0 for k in ((0, 1), (1, 1), (2, 1), (5, 2), (6, 2)))
+    assert got[3, 1].reparameterised and not got[0, 1].reparameterised
+
+
 def test_case_of_accented_letters_is_folded(spark):
     text = "Éai éonleeau pour an êonqueé ñivi äi Ж éenaitre oiaux"
     docs = spark.createDataFrame([(0, text.upper()), (1, text)], "doc_id long, text string")
