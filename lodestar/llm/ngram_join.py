@@ -411,10 +411,11 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "run", "doc_id", "component", "n", "sketch", "block")
         pairs = materialise(blocked.repartition(parts, "pivot", "x", "y").mapInArrow(_cross_pairs(first), "a bigint, b bigint, pivot bigint").distinct(), "pairs")
         wanted = pairs.where(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        if wanted.isEmpty():
+        if not wanted.isEmpty():
+            links = materialise(links.unionByName(verified(wanted)), "links")
+            component = connected_components(links, "a", "b")
+        elif pairs.where(F.col("pivot").isNotNull()).isEmpty():  # no pivot has pairs left out
             break
-        links = materialise(links.unionByName(verified(wanted)), "links")
-        component = connected_components(links, "a", "b")
         tried = tried.unionByName(pairs.where(F.col("a").isNotNull()).select("a", "b"))
         larger = larger.join(pairs.where(F.col("pivot").isNotNull()).select("pivot").distinct(), "pivot", "left_semi")
 

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from lodestar.llm import ngram_join as J
 from lodestar.operators.components import connected_components
@@ -66,6 +67,25 @@ def test_large_runs_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute(docs)
 
 
+def test_left_out_pairs_are_compared_if_the_first_pass_has_none_to_try(spark, monkeypatch):
+    runs = J._runs
+
+    def one_run(batches):  # all share one run, so only its smallest member has been compared with the others
+        names = ["doc_id", "n", "digest_a", "digest_b", "sketch", "run", "members"]
+        for batch in runs(batches):
+            yield batch.filter(pa.array([r is None for r in batch.column(5).to_pylist()], pa.bool_()))
+        none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([1]), pa.array([[0, 1, 2]], pa.list_(pa.int64()))], names)
+
+    monkeypatch.setattr(J, "_runs", one_run)
+    monkeypatch.setattr(J, "FIRST_PAIRS", 0)
+    words = [f"w{k}" for k in range(100)]
+    far = [f"x{k}" if k in (10, 30, 50, 70) else w for k, w in enumerate(words)]
+    docs = [(0, " ".join(far)), (1, " ".join(words)), (2, " ".join([*words[:-1], "end"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[2][1] == 1
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in [1, 4, 5, 6, 7, 9, 12, 20, 50, 133, 400]:
