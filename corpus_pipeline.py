@@ -24,14 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each class of near copies; of rows that repeat an id, one."""
-    classes = ngram_join.link_classes(docs)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document, the one with the smallest id, of each class of near copies; of rows that repeat id and text, one.
+    Different texts under one id are documents of their own."""
     again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+        classes = ngram_join.link_classes(docs)
+        gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull())
+    texts = named.select("doc_id", "text").distinct().orderBy("doc_id", "text")
+    texts = materialise(texts.withColumn("_key", F.monotonically_increasing_id()), "texts")  # in the order of the ids
+    classes = ngram_join.link_classes(texts, "_key")
+    gone = texts.join(classes.where(F.col("_key") != F.col("component_id")).select("_key"), "_key").select(F.col("doc_id").alias("_gone_id"), F.col("text").alias("_gone_text"))
+    kept = named.dropDuplicates(["doc_id", "text"]).join(gone, (F.col("doc_id") == F.col("_gone_id")) & F.col("text").eqNullSafe(F.col("_gone_text")), "left_anti")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,19 @@ def test_each_decision_takes_effect(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ids["tokenise"]
 
 
+def test_different_texts_under_one_id_are_documents_of_their_own(spark, tmp_path):
+    import random
+
+    from tests_llm_words import sentence
+
+    rng = random.Random(3)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, a), (3, d), (4, c + " tail"), (4, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())))
+    assert got == sorted(map(str, [(1, a), (2, b), (2, c), (3, d), (4, None), (None, a)]))
+
+
 def test_odd_rows(spark, odd_docs, tmp_path):
     odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
