@@ -24,8 +24,8 @@ REPEATED_PERCENT = 20
 GUARD_CHAR_WORDS, GUARD_WORD_WORDS = 40, 80
 #: Largest distances of a document that is kept.
 MOST_CHAR, MOST_WORD = 0.3, 0.31
-#: Only the languages with most words, at most so many, become references, each with this many words at least.
-MOST_LANGUAGES, LEAST_REFERENCE_WORDS = 64, 200
+#: Languages with so many words at least become references.
+LEAST_REFERENCE_WORDS = 200
 
 # Common words of some languages.
 COMMON = sorted(
@@ -106,11 +106,11 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(language, class shares, common-word shares) summed over all documents of each language; bounded by MOST_LANGUAGES."""
+    """(language, class shares, common-word shares) summed over all documents of each language with enough words."""
     n_classes, n_words = len(CLASSES) + 2, len(COMMON) + 1
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n_classes)] + [F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(n_words)]
     total = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("words"), *sums)
-    rows = total.where(F.col("words") >= LEAST_REFERENCE_WORDS).orderBy(F.desc("words"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = total.where(F.col("words") >= LEAST_REFERENCE_WORDS).orderBy(F.desc("words"), "lang").collect()
 
     def share(row, letter, n):
         x = [float(row[f"{letter}{k}"]) for k in range(n)]

@@ -60,6 +60,13 @@ def test_diverging_documents_go_and_short_or_clean_ones_stay(spark):
     assert kept == {k for k, *_ in clean} | {902}
 
 
+def test_every_language_has_a_reference(spark):
+    text = " ".join(["the house and garden of stone is in winter"] * 30)
+    docs = [(k, f"{text} {'more ' * (70 - k)}", f"l{k}") for k in range(66)]
+    found = spark.createDataFrame([(k, lang, len(t.split()), [1] * (len(Q.CLASSES) + 2), [1] * (len(Q.COMMON) + 1)) for k, t, lang in docs], "doc_id long, lang string, n_words long, classes array<long>, common array<long>")
+    assert sorted(name for name, *_ in Q.references(found)) == sorted(lang for *_, lang in docs)
+
+
 def test_empty_table_and_no_languages(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
     r = Q.judge(spark.createDataFrame([(1, "a b c d e f g h i j k", None)], "doc_id long, text string, lang string")).first()
