@@ -35,4 +35,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == state:
             break
         state = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = materialise(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop(e)
+    return found

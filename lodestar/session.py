@@ -47,8 +47,32 @@ def drop(stored: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """The intermediate tables of one operator: deleted together once its result is stored."""
+
+    def __init__(self) -> None:
+        self._tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialise``, or a table that is stored already."""
+        stored = df if getattr(df, "_stored_at", None) else materialise(df, name)
+        self._tables.append(stored)
+        return stored
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Stores the result and deletes all that was kept before."""
+        stored = materialise(df, name)
+        for table in self._tables:
+            drop(table)
+        self._tables.clear()
+        return stored
+
+
 def document_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends at most so many rows at a time to Python workers: rows are whole documents, and Spark's 10,000 of them fill both sides' memory."""
+    """Sends at most so many rows at a time to Python workers: rows are whole documents, and Spark's 10,000 of them fill both sides' memory.
+
+    The setting stays lowered for the session: Spark reads it when a lazy result is run, after the operator has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
