@@ -16,9 +16,9 @@ that look most alike. Parity sketches give an exact lower bound of the differenc
 end there; the others are compared exactly, by their sets. Equal sets are one node throughout.
 
 A null text, or one without words, has an empty set and is linked with nothing. A text with fewer words than the
-n-gram has one element, its whole sequence. Very long texts are read whole. Repeated ids are one document each row
-(each row gives a row; the id's class is the smallest of all). Extra columns are not read. An empty table gives an
-empty table.
+n-gram has one element, its whole sequence. Very long texts are read whole. Each row is a document of its own: rows that
+repeat an id with other texts are compared each, equal rows get equal results, and each row gives a row. A null id has its
+set's size and is linked with nothing. Ids may be of any type that has an order. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bloom
-from lodestar.llm.textblock import U64, mix, pieces, release_memory, text_buffers, window_hashes, word_hashes, word_spans
+from lodestar.llm.textblock import U64, mix, pieces, release_memory, sorted_groups, text_buffers, window_hashes, word_hashes, word_spans
 from lodestar.operators.components import connected_components
-from lodestar.session import document_batches, materialise, shuffle_partitions
+from lodestar.session import Scratch, document_batches, shuffle_partitions
 
 WIDTH = 5
 #: Similarity of 0.8 or more, as a fraction.
 NUM, DEN = 4, 5
 LEVELS = 4
-#: A run with more members is compared in blocks of so many.
-BLOCK = 2048
+#: Runs with one pivot that have more members are compared in blocks of so many, and in slices of about so many rows, which bounds what
+#: one group holds.
+BLOCK = 1024
+SLICE = 1 << 14
 #: Cross-component pairs of a member that are compared first.
 FIRST_PAIRS = 2
 _FLUSH = 1 << 19
@@ -289,32 +291,31 @@ def _verify(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
+_GROUP = ["pivot", "x", "y", "slice"]
+
+
 def _cross_pairs(first: int | None):
-    """Of the members of runs (pivot, x, y, run, doc_id, component, n, sketch, block), two blocks of the runs with one pivot at a time:
-    pairs (a, b) of one run in different components that may link, each once; all, or for each member the ``first`` that look most
-    alike. Pivots for which this left some out follow as rows of their own."""
+    """Of the members of runs (pivot, x, y, slice, run, doc_id, component, n, sketch, block), sorted, two blocks of a slice of the runs with one
+    pivot at a time: pairs (a, b) of one run in different components that may link, each once; all, or for each member the ``first`` that
+    look most alike. Pivots for which this left some out follow as rows of their own."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64())])
 
     def run(batches):
-        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        pivot, x, y, key, ids, comp, n, block = (rows.column(c).to_numpy() for c in ("pivot", "x", "y", "run", "doc_id", "component", "n", "block"))
-        sketches = rows.column("sketch").to_pylist()
-        order = np.lexsort((ids, key, y, x, pivot))
-        for group in np.split(order, np.flatnonzero(np.diff(pivot[order]) | np.diff(x[order]) | np.diff(y[order])) + 1):
+        for group in sorted_groups(batches, _GROUP):
+            pivot, x, y = (group.column(c)[0].as_py() for c in _GROUP[:3])
+            key, ids, comp, n, block = (group.column(c).to_numpy() for c in ("run", "doc_id", "component", "n", "block"))
+            sketches = group.column("sketch").to_pylist()
             found: dict[tuple[int, int], int] = {}
-            for part in np.split(group, np.flatnonzero(np.diff(key[group])) + 1):
-                left, right = part[block[part] == x[group[0]]], part[block[part] == y[group[0]]]
+            for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(key)) + 1):
+                left, right = part[block[part] == x], part[block[part] == y]
                 if not len(left) or not len(right):
                     continue
                 width = min(len(sketches[k]) for k in part)
                 bits = _folded([sketches[k] for k in right], width)
-                mine = bits if np.array_equal(left, right) else _folded([sketches[k] for k in left], width)
-                same = x[group[0]] == y[group[0]]
+                mine = bits if x == y else _folded([sketches[k] for k in left], width)
                 for k, sk in zip(left, mine, strict=True):
                     want = (comp[right] != comp[k]) & (NUM * np.maximum(n[right], n[k]) <= DEN * np.minimum(n[right], n[k]))
-                    if same:
+                    if x == y:
                         want &= ids[right] > ids[k]
                     at = np.flatnonzero(want)
                     if not len(at):
@@ -333,7 +334,7 @@ def _cross_pairs(first: int | None):
                         near.append((a, b))
                 short, pairs = len(near) < len(pairs), near
                 if short:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pivot[group[0]]])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pivot], pa.int64())], schema=schema)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), pa.nulls(len(pairs), pa.int64())], schema=schema)
 
@@ -350,25 +351,56 @@ def _folded(sketches, width: int) -> np.ndarray:
     return np.array([_fold(np.frombuffer(s, np.uint8), width) for s in sketches]).reshape(-1, width)
 
 
+def _own_ids(rows: DataFrame) -> bool:
+    """Whether ids are whole numbers, and none comes again."""
+    if rows.schema["_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return False
+    return rows.where(F.col("_id").isNotNull()).groupBy("_id").count().where("count > 1").isEmpty()
+
+
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``df``: the size of its set and the smallest id that links reach from it."""
-    spark = df.sparkSession
-    document_batches(spark)
-    id_type = df.schema[id_col].dataType
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    id_type, scratch = rows.schema["_id"].dataType, Scratch()
+    document_batches(df.sparkSession)
+    if _own_ids(rows):
+        found = _classes(rows.select(F.col("_id").cast("bigint").alias("doc_id"), F.col("_text").alias("text")), width, scratch)
+        found = found.select(F.col("doc_id").cast(id_type).alias("_id"), "n", F.col("component_id").cast(id_type).alias("_class"))
+    else:  # distinct rows get numbers in the order of their ids, and are written so that the numbers stay
+        named = rows.where(F.col("_id").isNotNull()).withColumn("_sha", F.coalesce(F.sha2(F.col("_text"), 256), F.lit("")))
+        texts = named.dropDuplicates(["_id", "_sha"]).orderBy("_id", "_sha").withColumn("doc_id", F.monotonically_increasing_id())
+        texts = scratch.keep(texts, "texts")
+        classes = _classes(texts.select("doc_id", F.col("_text").alias("text")), width, scratch)
+        classes = classes.join(texts.select(F.col("doc_id").alias("component_id"), F.col("_id").alias("_class")), "component_id").select("doc_id", "n", "_class")
+        found = named.select("_id", "_sha").join(texts.select("_id", "_sha", "doc_id").join(classes, "doc_id"), ["_id", "_sha"]).select("_id", "n", "_class")
+
+        def sizes(batches):
+            for batch in batches:
+                raw, bounds, _ = text_buffers(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(raw, bounds, width)], pa.int64())], ["n"])
+
+        none = F.lit(None).cast(id_type)
+        nameless = rows.where(F.col("_id").isNull()).select("_text").mapInArrow(sizes, "n bigint")
+        found = found.unionByName(nameless.select(none.alias("_id"), "n", none.alias("_class")))
+    return scratch.result(found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_class").alias("component_id")), "classes")
+
+
+def _classes(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, component_id) of rows (doc_id, text), whose ids are unique or null."""
+    spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     table = docs.mapInArrow(_signature_rows(4 * parts, width), _ROW).repartition(parts, "bucket")
-    table = materialise(table.mapInArrow(_runs, "doc_id bigint, n bigint, digest_a bigint, digest_b bigint, sketch binary, run bigint, members array<bigint>"), "partenum")
+    table = scratch.keep(table.mapInArrow(_runs, "doc_id bigint, n bigint, digest_a bigint, digest_b bigint, sketch binary, run bigint, members array<bigint>"), "partenum")
 
     known = table.where(F.col("run").isNull()).select("doc_id", "n", "digest_a", "digest_b", "sketch")
     nodes = known.where(F.col("digest_a").isNotNull())
     reps = nodes.groupBy("digest_a", "digest_b", "n").agg(F.min("doc_id").alias("rep"))
     same = nodes.join(reps, ["digest_a", "digest_b", "n"]).select("doc_id", "rep", "n", "sketch")
-    same = materialise(same, "same")
+    same = scratch.keep(same, "same")
     members = table.where(F.col("run").isNotNull()).dropDuplicates(["run"]).select("run", F.explode("members").alias("doc_id"))
-    members = members.join(same.select("doc_id", "rep").distinct(), "doc_id").select("run", F.col("rep").alias("doc_id")).distinct()
-    members = materialise(members.join(members.groupBy("run").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "run"), "members")
-    info = same.where("doc_id = rep").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    members = members.join(same.select("doc_id", "rep"), "doc_id").select("run", F.col("rep").alias("doc_id")).distinct()
+    members = scratch.keep(members.join(members.groupBy("run").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "run"), "members")
+    info = same.where("doc_id = rep").select("doc_id", "n", "sketch")
 
     def may(pairs: DataFrame) -> DataFrame:
         p = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
@@ -377,7 +409,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return p.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_sketch_filter, "a bigint, b bigint")
 
     star = may(members.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    star = materialise(star, "star")
+    star = scratch.keep(star, "star")
     candidates = members.select("doc_id").distinct()
     blocks = bloom.size_for(candidates.count())
     flt = spark.sparkContext.broadcast(bloom.build(candidates, "doc_id", blocks))
@@ -391,34 +423,38 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw, bounds, _ = text_buffers(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(raw, bounds, width)], pa.binary())], ["doc_id", "elements"])
 
-    sets = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets_of, "doc_id bigint, elements binary").join(candidates, "doc_id", "left_semi")
-    sets = materialise(sets.dropDuplicates(["doc_id"]), "sets")
+    # what the filter lets pass beside the candidates meets no pair
+    sets = scratch.keep(docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets_of, "doc_id bigint, elements binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
         return p.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
 
-    links = materialise(verified(star), "links")
-    component = connected_components(links, "a", "b")
+    links = scratch.keep(verified(star), "links")
+    component = scratch.keep(connected_components(links, "a", "b"), "components")
     larger = members.where("size > 2 AND doc_id <> pivot")  # the pairs with a run's smallest member are decided
     tried = star
     for first in (FIRST_PAIRS, None):
         labelled = larger.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         split = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
         opened = labelled.join(split, "run").join(info, "doc_id").select("run", "pivot", "doc_id", "component", "n", "sketch")
-        many = opened.select("pivot", "doc_id").distinct().groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        blocked = opened.join(many, "pivot").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "run", "doc_id", "component", "n", "sketch", "block")
-        pairs = materialise(blocked.repartition(parts, "pivot", "x", "y").mapInArrow(_cross_pairs(first), "a bigint, b bigint, pivot bigint").distinct(), "pairs")
+        opened = scratch.keep(opened, "opened")
+        per_member = opened.groupBy("pivot", "doc_id").agg(F.count("*").alias("k"))
+        many = per_member.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("k") / SLICE).cast("int").alias("slices"))
+        blocked = opened.join(many, "pivot").withColumn("slice", F.pmod(F.xxhash64("run"), F.col("slices")).cast("int"))
+        blocked = blocked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "slice", "run", "doc_id", "component", "n", "sketch", "block")
+        groups = blocked.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP, "run", "doc_id")
+        pairs = scratch.keep(groups.mapInArrow(_cross_pairs(first), "a bigint, b bigint, pivot bigint").distinct(), "pairs")
         wanted = pairs.where(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti")
         if not wanted.isEmpty():
-            links = materialise(links.unionByName(verified(wanted)), "links")
-            component = connected_components(links, "a", "b")
+            links = scratch.keep(links.unionByName(verified(wanted)), "links")
+            component = scratch.keep(connected_components(links, "a", "b"), "components")
         elif pairs.where(F.col("pivot").isNotNull()).isEmpty():  # no pivot has pairs left out
             break
         tried = tried.unionByName(pairs.where(F.col("a").isNotNull()).select("a", "b"))
         larger = larger.join(pairs.where(F.col("pivot").isNotNull()).select("pivot").distinct(), "pivot", "left_semi")
 
-    classes = same.select("doc_id", "rep").distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    classes = same.select("doc_id", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = known.select("doc_id", "n").join(classes, "doc_id", "left")
-    return out.select(F.col("doc_id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast(id_type).alias("component_id"))
+    return out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -140,3 +140,23 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Tables of the rows with equal keys (without nulls), of batches sorted by these."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+        if not rows.num_rows:
+            continue
+        new = np.zeros(rows.num_rows - 1, bool)
+        for k in keys:
+            column = rows.column(k).to_numpy()
+            new |= column[1:] != column[:-1]
+        edge = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            yield rows.slice(lo, hi - lo)
+        rest = rows.slice(edge[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -86,6 +86,26 @@ def test_left_out_pairs_are_compared_if_the_first_pass_has_none_to_try(spark, mo
     assert got == brute(docs) and got[2][1] == 1
 
 
+def test_hot_pivots_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "SLICE", 16)
+    docs = corpus(6, 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
+def test_rows_that_share_an_id_are_compared_each(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    a, b = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (7, a + " tail"), (8, b + " tail"), (8, b + " tail"), (9, "alone"), (None, a), (6, None)]
+    expected = [(5, 56, 5), (5, 56, 5), (6, 0, 6), (7, 57, 5), (8, 57, 5), (8, 57, 5), (9, 1, 9), (None, 56, None)]
+    for kind, name in (("long", lambda x: x), ("string", lambda x: None if x is None else f"d{x}")):
+        docs = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = sorted(map(str, (tuple(r) for r in J.link_classes(docs).collect())))
+        assert got == sorted(map(str, [(name(i), n, name(c)) for i, n, c in expected]))
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in [1, 4, 5, 6, 7, 9, 12, 20, 50, 133, 400]:
