@@ -9,24 +9,28 @@ for different ones. So re-parameterised questions are found as well as verbatim
 
 All windows are also taken with names as literal words, which no change of case hides; the better alignment counts.
 Items that are short, or have windows with too few literal words, also give windows of their single words as they are (in lower case), which
-match exact copies at any length and any number of slots; so a one-word item matches each text that has the word.
+match exact copies at any length and any number of slots; so a one-word item matches each text that has the word. In scripts that
+don't set words apart (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word.
+
+The windows of one document, item and alignment are judged together; an item's length bounds them, however often a text repeats the item.
+The best alignment of an id and an item is then an aggregate. Of equally good ones, that by templates counts, then the one with more
+windows, then the first.
 
 Null and empty texts match nothing. An item with fewer than WIDTH tokens is one window of its own length: of template tokens if it has
-SHORTEST of them at least, and of single words. Long texts are read whole. Repeated rows and ids are compared as
-they come, and give one row for each id and item. Extra columns are not read. Empty tables give an empty result.
+SHORTEST of them at least, and of single words. Long texts are read whole. Rows that repeat an id with other texts are judged each; an id
+(null too) and an item give one row. Ids may be of any type. Extra columns are not read. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bloom
-from lodestar.llm.textblock import U64, pieces, text_buffers, window_hashes, word_hashes
-from lodestar.session import document_batches
+from lodestar.llm.textblock import U64, pieces, sorted_groups, text_buffers, window_hashes, word_hashes
+from lodestar.session import document_batches, shuffle_partitions
 
 WIDTH = 8
 SHORTEST = 5
@@ -53,6 +57,9 @@ _POINT[[ord("."), ord(",")]] = True
 _ENDS = np.ones(256, bool)
 _ENDS[[ord(c) for c in " \t,-'&/"]] = False
 
+#: Second bytes of the characters of scripts without spaces, by first byte.
+_UNSPACED = {0xE0: [(0xB8, 0xBB)], 0xE1: [(0x80, 0x82), (0x9E, 0x9F)], 0xE3: [(0x81, 0xBF)], **{lead: [(0x80, 0xBF)] for lead in range(0xE4, 0xEA)}}
+
 #: Lower case of the two-byte code points, where it has two bytes too.
 _FOLD = np.arange(0x800)
 _FOLD[0x80:] = [ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x800 else c for c in range(0x80, 0x800)]
@@ -88,16 +95,36 @@ def fold_case(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, upper
 
 
+def _unspaced(data: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where a character of a script without spaces begins. Marks of these scripts are no words any more."""
+    at = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] <= 0xEF)) if len(data) > 2 else np.zeros(0, np.int64)
+    if not len(at):
+        return at
+    lead, second, third = data[at], data[at + 1], data[at + 2]
+    wide = (lead == 0xEF) & (second == 0xBC) & (((third >= 0x81) & (third <= 0x8F)) | (third >= 0x9A) & (third <= 0xA0))
+    for mark in at[wide | ((lead == 0xE3) & (second == 0x80))]:
+        word[mark : mark + 3] = False
+    alone = np.zeros(len(at), bool)
+    for first, ranges in _UNSPACED.items():
+        for lo, hi in ranges:
+            alone |= (lead == first) & (second >= lo) & (second <= hi)
+    return at[alone]
+
+
 def single_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(kind, value hash, whether a sentence begins) of all words, and for each document the index of its first (one more at the end)."""
     word = _ALNUM[data]
     if len(data) > 2:
         digit = _DIGIT[data]
         word[1:-1] |= _POINT[data[1:-1]] & digit[:-2] & digit[2:]
+    alone = _unspaced(data, word)
     first, last = word.copy(), word.copy()
     if len(data):
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
+        first[alone] = last[alone + 2] = True
+        before, after = alone[alone > 0] - 1, alone[alone + 3 < len(data)] + 3
+        last[before], first[after] = word[before], word[after]
         filled = bounds[1:] > bounds[:-1]
         head, tail = bounds[:-1][filled], bounds[1:][filled] - 1
         first[head], last[tail] = word[head], word[tail]
@@ -180,8 +207,8 @@ def windows(hashed: np.ndarray, kind: np.ndarray, at: np.ndarray, width: int, le
     return found, window_hashes(hashed, width)[found] ^ U64(width)
 
 
-_HIT = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("token", pa.int32()), ("slots", pa.binary()), ("kind", pa.int32()), ("width", pa.int32()), ("tokens", pa.int32())])
-_HIT_DDL = "id bigint, h bigint, pos int, token int, slots binary, kind int, width int, tokens int"
+_HIT = pa.schema([("h", pa.int64()), ("pos", pa.int32()), ("token", pa.int32()), ("slots", pa.binary()), ("kind", pa.int32()), ("width", pa.int32()), ("tokens", pa.int32())])
+_HIT_DDL = "h bigint, pos int, token int, slots binary, kind int, width int, tokens int"
 
 
 def _sparse(count: np.ndarray, n_words: np.ndarray, found: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,12 +218,10 @@ def _sparse(count: np.ndarray, n_words: np.ndarray, found: np.ndarray, at: np.nd
 
 
 def _rows(batches, shapes, words):
-    """One row for each window: its document, hash, position in tokens of its kind and in template tokens, and slot values (8 bytes a token,
-    0 for literals). ``shapes``: the (kind, width) to look for. ``words``: a Bloom filter's, or None for all windows of items."""
+    """One row for each window: its document's id and key, hash, position in tokens of its kind and in template tokens, and slot values (8 bytes
+    a token, 0 for literals). ``shapes``: the (kind, width) to look for. ``words``: a Bloom filter's, or None for all windows of items."""
     for batch in batches:
-        ids = batch.column(0)
-        raw, bounds, _ = text_buffers(batch.column(1))
-        out: list[tuple] = []
+        raw, bounds, _ = text_buffers(batch.column(2))
         for lo, hi in pieces(bounds):
             single, plain, fresh, first = single_words(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             hashed, kind, value, at, group = joined_names(single, plain, fresh, first)
@@ -225,12 +250,13 @@ def _rows(batches, shapes, words):
                 elif form == VERBATIM and width < WIDTH and len(found):  # whole items: the first copy in a document says it all
                     keep = np.sort(np.unique(np.stack([owner.astype(U64), h], axis=1), axis=0, return_index=True)[1])
                     found, h, owner = found[keep], h[keep], owner[keep]
+                if not len(found):
+                    continue
                 token = found if form == TEMPLATE else np.searchsorted(group, found, "right") - 1
-                for f, x, d, t in zip(found.tolist(), h.view(np.int64).tolist(), owner.tolist(), token.tolist(), strict=True):
-                    if (i := ids[lo + d].as_py()) is not None:
-                        out.append((i, x, f - int(begin[d]), t - int(at[d]), slots[f : f + width].tobytes(), form, width, int(n[d])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _HIT, strict=True)], schema=_HIT)
+                mine = pa.array(lo + owner)
+                values = [h.view(np.int64), found - begin[owner], token - at[owner], [slots[f : f + width].tobytes() for f in found.tolist()], np.full(len(found), form), np.full(len(found), width), n[owner]]
+                columns = [pa.array(v, t.type) if isinstance(v, list) else pa.array(v).cast(t.type) for v, t in zip(values, _HIT, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(mine), batch.column(1).take(mine), *columns], ["id", "doc", *_HIT.names])
 
 
 def _consistent(pairs: list[tuple[int, int]]) -> bool:
@@ -239,35 +265,47 @@ def _consistent(pairs: list[tuple[int, int]]) -> bool:
     return all(one.setdefault(a, b) == b and other.setdefault(b, a) == a for a, b in pairs)
 
 
-def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best alignment of one document and item, if it is good enough; by templates if single words cover no more."""
-    best = None
-    for (_, by_word), g in pdf.groupby([pdf["pos"] - pdf["item_pos"], pdf["kind"] != TEMPLATE], sort=True):
+_ALIGNED = ["doc", "item", "align", "by_word"]
+_JUDGED = pa.schema([("coverage", pa.float64()), ("n_windows", pa.int64()), ("at_token", pa.int64()), ("reparameterised", pa.bool_()), ("by_word", pa.int32()), ("align", pa.int32())])
+
+
+def _judge(batches):
+    """Of the matching windows, sorted by alignment, the alignments that are good enough."""
+    for group in sorted_groups(batches, _ALIGNED):
         covered: set[int] = set()
         pairs = set()
-        for p, w, a, b in zip(g["item_pos"], g["width"], g["item_slots"], g["slots"], strict=True):
+        places, widths = group.column("item_pos").to_pylist(), group.column("width").to_pylist()
+        for p, w, a, b in zip(places, widths, group.column("item_slots").to_pylist(), group.column("slots").to_pylist(), strict=True):
             covered.update(range(p, p + w))
-            x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-            pairs |= {(int(x[k]), int(y[k])) for k in np.flatnonzero(x)}
-        share = len(covered) / int(g["item_tokens"].iloc[0])
+            if a.strip(b"\0"):
+                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+                pairs |= {(int(x[k]), int(y[k])) for k in np.flatnonzero(x)}
+        share = len(covered) / group.column("item_tokens")[0].as_py()
         if share >= COVERAGE and _consistent(sorted(pairs)):
-            row = (share, not by_word, len(set(g["item_pos"])), int(g["token"].min()), any(a != b for a, b in pairs))
-            if best is None or row[:3] > best[:3]:
-                best = row
-    cols = ["doc_id", "item_id", "coverage", "n_windows", "at_token", "reparameterised"]
-    return pd.DataFrame([(int(pdf["id"].iloc[0]), int(pdf["item_id"].iloc[0]), best[0], *best[2:])] if best else [], columns=cols)
+            row = (share, len(set(places)), min(group.column("token").to_pylist()), any(a != b for a, b in pairs), group.column("by_word")[0].as_py(), group.column("align")[0].as_py())
+            columns = [pa.array([v], t.type) for v, t in zip(row, _JUDGED, strict=True)]
+            yield pa.RecordBatch.from_arrays([group.column("id").chunk(0).slice(0, 1), group.column("item_id").chunk(0).slice(0, 1), *columns], ["id", "item_id", *_JUDGED.names])
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, coverage, n_windows, at_token, reparameterised) of each document and benchmark item that match."""
+    """(id, item_id, coverage, n_windows, at_token, reparameterised) of each document and benchmark item that match."""
     spark = df.sparkSession
     document_batches(spark)
+    id_type, item_type = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
+
+    def keyed(rows: DataFrame, i: str, t: str) -> DataFrame:
+        return rows.select(F.col(i).alias("id"), F.xxhash64(i, t).alias("doc"), F.col(t).alias("text"))
+
     shapes = [(k, w) for k in (TEMPLATE, FOLDED) for w in range(SHORTEST, WIDTH + 1)] + [(VERBATIM, w) for w in range(1, WIDTH + 1)]
-    items = benchmark.select(F.col(item_id_col).cast("bigint"), F.col(item_text_col)).mapInArrow(lambda b: _rows(b, shapes, None), _HIT_DDL)
-    items = items.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("kind").alias("item_kind"), F.col("width").alias("item_width"))
+    items = keyed(benchmark, item_id_col, item_text_col).mapInArrow(lambda b: _rows(b, shapes, None), f"id {item_type}, doc bigint, {_HIT_DDL}")
+    items = items.select(F.col("id").alias("item_id"), F.col("doc").alias("item"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("kind").alias("item_kind"), F.col("width").alias("item_width"))
     found = items.agg(F.count("*").alias("n"), F.collect_set(F.struct("item_kind", "item_width")).alias("w")).first()
     words = spark.sparkContext.broadcast(bloom.build(items, "h", bloom.size_for(found["n"])))
     present = sorted(tuple(x) for x in found["w"]) or [(TEMPLATE, WIDTH)]
-    hits = df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(lambda b: _rows(b, present, words.value), _HIT_DDL)
-    joined = hits.join(items, (hits["h"] == items["h"]) & (F.col("kind") == F.col("item_kind")) & (F.col("width") == F.col("item_width"))).drop(items["h"])
-    return joined.groupBy("id", "item_id").applyInPandas(_judge, "doc_id bigint, item_id bigint, coverage double, n_windows bigint, at_token bigint, reparameterised boolean")
+    hits = keyed(df, id_col, text_col).mapInArrow(lambda b: _rows(b, present, words.value), f"id {id_type}, doc bigint, {_HIT_DDL}")
+    joined = hits.join(items, (hits["h"] == items["h"]) & (F.col("kind") == F.col("item_kind")) & (F.col("width") == F.col("item_width")))
+    joined = joined.select("id", "doc", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("align"), (F.col("kind") != TEMPLATE).cast("int").alias("by_word"), "item_pos", "width", "item_slots", "slots", "item_tokens", "token")
+    aligned = joined.repartition(shuffle_partitions(spark), *_ALIGNED).sortWithinPartitions(*_ALIGNED)
+    good = aligned.mapInArrow(_judge, f"id {id_type}, item_id {item_type}, coverage double, n_windows bigint, at_token bigint, reparameterised boolean, by_word int, align int")
+    best = F.max_by(F.struct("coverage", "n_windows", "at_token", "reparameterised"), F.struct(F.col("coverage"), -F.col("by_word"), F.col("n_windows"), -F.col("align"), -F.col("at_token"), "reparameterised"))
+    return good.groupBy("id", "item_id").agg(best.alias("best")).select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "best.*")
