@@ -1,7 +1,7 @@
 """A training-corpus pipeline of five operators over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each stage's result is written and read again as the next
-one's input. Rows with a null id can't be linked with others and pass the stages that compare documents.
+one's input. Rows with a null id can't be linked with others and pass ``near_duplicates``; all other stages judge them as any row.
 """
 
 from __future__ import annotations
@@ -41,9 +41,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item, verbatim or with other numbers, names or units."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents that hold a benchmark item, verbatim or with other numbers, names or units. Rows without an id of their own are
+    numbered, so that each is judged by its own text."""
+    columns, key = docs.columns, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        key = "_pipeline_row"
+        docs = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return docs.join(found.select(key).distinct(), key, "left_anti").select(*columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
