@@ -76,25 +76,45 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules (action, host, path), and listed URLs, which a real run reads from tables.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
+LISTED_URLS = (
+    *(f"http://{name}.example.{top}/" for name in ("casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org")),
+    "https://Warez.example.org:443/files/%7Eall/",
+    "http://user@mirror.example.com./a/../pirated/./",
+)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(h, p, a, True) for a, h, p in URL_RULES] + [(h, "/", "block", False) for h in LISTED_HOSTS]
-    entries = spark.createDataFrame(rows, "host string, path string, action string, is_rule boolean")
-    return url_filter.verdicts(table(spark, sf_dir, "pages"), entries)
+    rules = spark.createDataFrame([(h, p, a, True) for a, h, p in URL_RULES], "host string, path string, action string, is_rule boolean")
+    listed = url_filter.listed_urls(spark.createDataFrame([(u,) for u in LISTED_URLS], "url string"))
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), rules.unionByName(listed))
 
 
-_FITS = "(host = {h} OR ends_with(host, '.' || {h})) AND starts_with(path, {p})"
-OP4_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+def listed_entries() -> list[tuple[str, str]]:
+    """Canonical host and path of each of ``LISTED_URLS``."""
+    parts = [u.split("://", 1)[1].partition("/") for u in LISTED_URLS]
+    return [(url_filter.canonical_host(h), url_filter.canonical_path(f"/{p}")) for h, _, p in parts]
+
+
+_FITS = "({x}host = {h} OR ends_with({x}host, '.' || {h})) AND starts_with({x}path, {p})"
+
+
+def _op4_sql() -> str:
+    letters = ", ".join(f"'{c}'" for c in url_filter.UNRESERVED)
+    plain = "rtrim(regexp_replace(url_decode(regexp_replace(host, '^.*@', '')), ':[0-9]*$', ''), '.')"
+    step = "CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END"
+    return f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ e AS (SELECT *, lower({plain}) AS c_host,
+  list_reduce(list_prepend(path, [{letters}]), lambda a, c: regexp_replace(a, '%' || hex(c), c, 'gi')) AS open FROM p),
+ g AS (SELECT *, string_split(open, '/')[2:] AS s FROM e),
+ c AS (SELECT *, CASE WHEN len(s) = 0 THEN '/' ELSE coalesce(nullif(list_reduce(list_prepend('', s), lambda a, x: {step}) || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, ''), '/') END AS c_path FROM g),
  r(a, h, f) AS (VALUES {", ".join(map(str, URL_RULES))}),
- l(h, f) AS (VALUES {", ".join(f"('{h}', '/')" for h in LISTED_HOSTS)}),
+ l(h, f) AS (VALUES {", ".join(map(str, listed_entries()))}),
  d AS (SELECT page_id, host, path,
-  (SELECT arg_max(h || f, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f")}) AS rule,
-  (SELECT arg_max(a, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f")}) AS act,
-  (SELECT arg_max(h || f, length(h || f)) FROM l WHERE {_FITS.format(h="h", p="f")}) AS listed FROM p)
+  (SELECT arg_max(h || f, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f", x="")}) AS rule,
+  (SELECT arg_max(a, length(h || f)) FROM r WHERE {_FITS.format(h="h", p="f", x="")}) AS act,
+  (SELECT arg_max(h || f, length(h || f)) FROM l WHERE {_FITS.format(h="h", p="f", x="c_")}) AS listed FROM c)
  SELECT page_id, host, path, rule, listed, coalesce(act, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM d"""
 
 
@@ -169,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_divergence": _op1_sql(), "op2_partenum_join": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_secret_scan": _op5_sql(), "op9_backoff_scores": OP9_SQL}
+    return {"op1_quality_divergence": _op1_sql(), "op2_partenum_join": OP2_SQL, "op4_url_filter": _op4_sql(), "op5_secret_scan": _op5_sql(), "op9_backoff_scores": OP9_SQL}
