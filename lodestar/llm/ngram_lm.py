@@ -8,9 +8,11 @@ bigrams reach the count cut-off, as others can't reach it.
 score(w | u v) = c(u v w) / c(u v) if c(u v w) >= MIN_COUNT, else BACKOFF * score(w | v); score(w | v) = c(v w) / c(v) if
 c(v w) >= MIN_COUNT, else BACKOFF * c(w) / N. At a document's start the shorter contexts are used without penalty.
 Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; counts are over all documents, whole texts.
+The cut-off is part of the model: the corpus is scored by its own counts, in which each of its n-grams occurs at least once, so that with a cut-off
+of 1 nothing would ever back off; ``min_count=1`` gives that model.
 
 Null texts and texts without words have 0 words, log_score 0 and a null mean. Repeated rows count as they come, each with a
-row of its own. Extra columns are not read. An empty table gives an empty table.
+row of its own; so do rows with a null id. Ids may be of any type. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 #: Words of a block, unless one document has more.
 BLOCK_WORDS = 1_500_000
+#: Words of the corpus for each task of an exchange, so that what a task holds does not grow with the corpus.
+TASK_WORDS = 4_000_000
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("first", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
 _BLOCKS_DDL = "block bigint, words bigint, ids binary, first binary, vocabulary binary, tokens binary"
@@ -51,9 +55,21 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).ravel().view(kind)
 
 
+def pack_ids(ids: list[pa.Array]) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays(ids)], ["id"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpack_ids(b: bytes) -> pa.Array:
+    return pa.ipc.open_stream(b).read_next_batch().column(0)
+
+
 def _blocks(batches):
     part, serial = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-    ids: list[int] = []
+    ids: list[pa.Array] = []
     words: list[np.ndarray] = []
     size = 0
 
@@ -65,19 +81,18 @@ def _blocks(batches):
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         first = np.cumsum([0, *(len(w) for w in words)]).astype(np.int64)
-        row = [(part << 32) + serial, len(hashes), pack(np.array(ids, np.int64)), pack(first), pack(vocabulary[order]), pack(rank[token])]
+        row = [(part << 32) + serial, len(hashes), pack_ids(ids), pack(first), pack(vocabulary[order]), pack(rank[token])]
         serial += 1
         return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     for batch in batches:
         raw, bounds, _ = text_buffers(batch.column(1))
-        known = batch.column(0).to_pylist()
         for lo, hi in pieces(bounds):
             data = raw[bounds[lo] : bounds[hi]]
             starts, ends, first = word_spans(data, bounds[lo : hi + 1] - bounds[lo])
             hashed = word_hashes(data, starts, ends, lower=True)
             for k in range(hi - lo):
-                ids.append(known[lo + k])
+                ids.append(batch.column(0).slice(lo + k, 1))
                 words.append(hashed[first[k] : first[k + 1]].copy())
                 size += len(words[-1])
                 if size >= BLOCK_WORDS:
@@ -90,7 +105,7 @@ def _blocks(batches):
 class Block:
     def __init__(self, row: dict):
         self.block = row["block"]
-        self.ids, self.first = unpack(row["ids"], np.int64), unpack(row["first"], np.int64)
+        self.ids, self.first = unpack_ids(row["ids"]), unpack(row["first"], np.int64)
         self.vocabulary, self.tokens = unpack(row["vocabulary"], U64), unpack(row["tokens"], np.uint32)
 
     def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +216,6 @@ def _ask_three(buckets: int, min_count: int):
 
 
 def _score(total_words: int, min_count: int, backoff: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         for row in left.to_pylist():
@@ -223,23 +236,26 @@ def _score(total_words: int, min_count: int, backoff: float):
             total = np.zeros(len(count))
             if len(filled):
                 total[filled] = np.add.reduceat(log, b.first[:-1][filled])
-            parts.append(pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(count, pa.int64()), pa.array(total)], schema=schema))
-        return pa.Table.from_batches(parts, schema=schema)
+            parts.append(pa.RecordBatch.from_arrays([b.ids, pa.array(count, pa.int64()), pa.array(total)], ["id", "n_words", "log_score"]))
+        return pa.Table.from_batches(parts)
 
     return run
 
 
 def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of each row with an id: the sum and mean of the natural logarithms of its words' scores."""
+    """(id, n_words, log_score, mean_log_score) of each row: the sum and mean of the natural logarithms of its words' scores."""
     spark = df.sparkSession
     document_batches(spark)
-    parts = shuffle_partitions(spark)
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col))
+    id_type = docs.schema["id"].dataType
     blocks = materialise(docs.mapInArrow(_blocks, _BLOCKS_DDL), "lm-blocks")
     words = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(shuffle_partitions(spark), -(-words // TASK_WORDS))
     answer = lambda asked: asked.repartition(parts, "bucket").mapInArrow(_count, _TOTAL_DDL)
+    by_block = lambda rows: rows.repartition(parts, "block").groupBy("block")
     low = materialise(answer(blocks.mapInArrow(_ask_one_two(2 * parts), _ASKED_DDL)), "lm-counts")
-    asked = blocks.groupBy("block").cogroup(low.where("n = 2").groupBy("block")).applyInArrow(_ask_three(2 * parts, min_count), _ASKED_DDL)
+    asked = by_block(blocks).cogroup(by_block(low.where("n = 2"))).applyInArrow(_ask_three(2 * parts, min_count), _ASKED_DDL)
     totals = low.unionByName(answer(asked))
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(words, min_count, backoff), "doc_id bigint, n_words bigint, log_score double")
-    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    scored = by_block(blocks).cogroup(by_block(totals)).applyInArrow(_score(words, min_count, backoff), f"id {id_type.simpleString()}, n_words bigint, log_score double")
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scored.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))

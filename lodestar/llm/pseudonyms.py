@@ -7,7 +7,7 @@ Permuted within their format, so that all places, marks and letters stay and the
   further digits in groups (8 to 15 in all); the country code stays, and numbers of that plan become such numbers,
 * social security numbers (area, group and serial number in use), IPv4 and IPv6 addresses,
 * calendar dates: year, month, day with ``-`` or ``/``; day, month, year with ``.`` or ``/``; month, day, year with ``/`` where the other
-  order gives no date; days and years around the name of a month (English, German, French, Spanish).
+  order gives no date; days and years around the name of a month (English, German, French, Spanish; before the day English only).
 
 The permutation depends on the key and the kind only, so equal values get equal pseudonyms in all documents and different ones different
 pseudonyms; a date is the same value in each format, but for those with the month first, which are permuted among themselves by walking the
@@ -42,9 +42,11 @@ COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = r"(?<!\d)(?<!\d[.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\d)(?![\-/]\d)"
 _MONTH = "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m)))
+_FIRST_MONTH = "|".join(sorted({m for names in MONTHS[:2] for m in names}, key=lambda m: (-len(m), m)))
 DAY_MONTH = rf"(\d{{1,2}})(\.? (?:de )?)({_MONTH})((?:,| de)? )(\d{{4}})"
-MONTH_DAY = rf"({_MONTH})( )(\d{{1,2}})(,? )(\d{{4}})"
-NAMED_DATE = rf"(?<![\d.])\d{{1,2}}\.? (?:de )?(?:{_MONTH})(?:,| de)? \d{{4}}(?!\d)|(?<!\p{{L}})(?:{_MONTH}) \d{{1,2}},? \d{{4}}(?!\d)"
+MONTH_DAY = rf"({_FIRST_MONTH})( )(\d{{1,2}})(,? )(\d{{4}})"
+DAY_MONTH_YEAR = rf"(?<![\d.])\d{{1,2}}\.? (?:de )?(?:{_MONTH})(?:,| de)? \d{{4}}(?!\d)"
+MONTH_DAY_YEAR = rf"(?=[A-Z][a-z]{{2,8}} \d)(?<!\p{{L}})(?:{_FIRST_MONTH}) \d{{1,2}},? \d{{4}}(?!\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: \d[A-Z0-9]{0,2})?)(?![A-Za-z0-9])"
 IPV6 = r"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})(?![A-Za-z0-9:])(?!\.\d)"
 IPV4 = r"(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
@@ -53,7 +55,8 @@ ABROAD = r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)"
 TEN = r"(?<![\w.,/+-])[2-9]\d{2}[2-9]\d{6}(?![\w/-]|[.,]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-ANY = "|".join([EMAIL, DATE, NAMED_DATE, IBAN, IPV6, IPV4, PHONE, ABROAD, SSN, CARD, TEN])
+#: What begins with a digit, a plus or a bracket is tried there only; the rest has gates of its own.
+ANY = "|".join([f"(?=[0-9+(])(?:{'|'.join([DATE, DAY_MONTH_YEAR, IPV4, PHONE, ABROAD, SSN, CARD, TEN])})", f"(?=[A-Z][A-Z][0-9][0-9]){IBAN}", MONTH_DAY_YEAR, f"(?=[0-9A-Fa-f]{{0,4}}:){IPV6}", EMAIL])
 KINDS = ("email", "date", "ipv4", "phone", "card", "iban", "ipv6", "ssn")
 
 
@@ -332,7 +335,8 @@ def _is(kind: str):
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_<kind> ...) of each row: the text with its personal data replaced, and how many of each kind were."""
     secret = df.sparkSession.sql("SELECT k FROM VALUES (:k) AS t(k)", args={"k": key}).scalar()
-    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_m", F.regexp_extract_all("_t", F.lit(ANY), 0)).withColumn("_key", secret)
+    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_key", secret)
+    d = d.withColumn("_m", F.when(F.rlike("_t", F.lit("[0-9@]")), F.regexp_extract_all("_t", F.lit(ANY), 0)))
     d = d.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: F.struct(pseudonym(m, F.col("_key")).alias("new"), m.alias("old"), kind_of(m).alias("kind")))))
     pieces = F.split("_t", ANY)
     # a text is its pieces with the replacements between them; the last piece has none after it

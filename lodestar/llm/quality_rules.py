@@ -105,18 +105,21 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     )
 
 
-def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(language, class shares, common-word shares) summed over all documents of each language with enough words."""
+def reference_row(found: DataFrame) -> DataFrame:
+    """One row with an array of (language, classes, common): the counts summed over all documents of each language with enough words."""
     n_classes, n_words = len(CLASSES) + 2, len(COMMON) + 1
-    sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n_classes)] + [F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(n_words)]
-    total = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("words"), *sums)
-    rows = total.where(F.col("words") >= LEAST_REFERENCE_WORDS).orderBy(F.desc("words"), "lang").collect()
 
-    def share(row, letter, n):
-        x = [float(row[f"{letter}{k}"]) for k in range(n)]
-        return [v / max(1.0, sum(x)) for v in x]
+    def sums(column, n):
+        return F.array(*(F.sum(F.get(column, F.lit(k))) for k in range(n))).alias(column)
+
+    total = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("words"), sums("classes", n_classes), sums("common", n_words))
+    known = total.where(F.col("words") >= LEAST_REFERENCE_WORDS)
+    return known.agg(F.collect_list(F.struct(F.col("lang").alias("language"), shares(F.col("classes")).alias("classes"), shares(F.col("common")).alias("common"))).alias("known"))
+
 
-    return [(r["lang"], share(r, "c", n_classes), share(r, "w", n_words)) for r in rows]
+def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
+    """The references by language, to look at."""
+    return sorted((r["language"], r["classes"], r["common"]) for r in reference_row(found).first()["known"])
 
 
 def shares(counted: Column) -> Column:
@@ -128,13 +131,13 @@ def shares(counted: Column) -> Column:
     return _let(F.aggregate(counted, F.lit(0.0), lambda s, x: s + x), over)
 
 
-def jensen_shannon(p: Column, reference: list[float]) -> Column:
+def jensen_shannon(p: Column, reference: Column | list[float]) -> Column:
     """Distance of two arrays of shares."""
+    q = reference if isinstance(reference, Column) else F.array(*(F.lit(float(x)) for x in reference))
 
     def part(a, b):  # a * log2(2a / (a + b)), 0 for a = 0
         return F.when(a > 0, a * F.log2(2.0 * a / (a + b))).otherwise(F.lit(0.0))
 
-    q = F.array(*(F.lit(float(x)) for x in reference))
     terms = F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
@@ -142,14 +145,14 @@ def jensen_shannon(p: Column, reference: list[float]) -> Column:
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Each row's counts, base verdict, nearest language, distances and ``kept``."""
     found = materialise(counts(df, id_col, text_col, lang_col), "quality")
-    known = references(found)
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    found = found.withColumn("common", shares(F.col("common"))).withColumn("classes", shares(F.col("classes")))
-    if known:
-        near = F.array(*(F.struct(jensen_shannon(F.col("common"), w).alias("word_distance"), jensen_shannon(F.col("classes"), c).alias("char_distance"), F.lit(name).alias("language")) for name, c, w in known))
-        found = found.withColumn("_near", F.array_min(near))
-    else:
-        found = found.withColumn("_near", F.struct(F.lit(None).cast("double").alias("word_distance"), F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("string").alias("language")))
+    # the references are one value, the size of a row for each language; no plan holds a literal of them
+    found = found.withColumn("common", shares(F.col("common"))).withColumn("classes", shares(F.col("classes"))).withColumn("_known", reference_row(found).scalar())
+
+    def distances(r):
+        return F.struct(jensen_shannon(F.col("common"), r["common"]).alias("word_distance"), jensen_shannon(F.col("classes"), r["classes"]).alias("char_distance"), r["language"].alias("language"))
+
+    found = found.withColumn("_near", F.array_min(F.transform("_known", distances)))
     far_chars = (F.col("n_words") >= GUARD_CHAR_WORDS) & (F.col("_near.char_distance") > MOST_CHAR)
     far_words = (F.col("n_words") >= GUARD_WORD_WORDS) & (F.col("_near.word_distance") > MOST_WORD)
     found = found.withColumn("base_failed", base)

@@ -58,6 +58,46 @@ def test_untrained_language_model(spark):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_samples_are_bounded_and_hold_the_smallest_hashes(spark):
+    from lodestar.llm.sampling import stratified_ids
+
+    rows = [(k, "a" if k % 10 else "b") for k in range(20_000)] + [(None, "a"), (5, None)] + [(k, "c") for k in range(20_000, 20_010)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = {(r.id, r.label) for r in stratified_ids(df, "id", "label", 1500).collect()}
+    hashed = df.selectExpr("id", "label", "xxhash64('sample', id) AS h").where("id IS NOT NULL AND label IS NOT NULL").collect()
+    want = set()
+    for label in "abc":
+        want |= {(r.id, r.label) for r in sorted((r for r in hashed if r.label == label), key=lambda r: r.h)[:500]}
+    assert got == want and len(got) == 1010
+
+
+def plain_language(model, text):
+    """The definition in plain loops: the mean embedding of all runs of three and four bytes, a linear layer and a softmax."""
+    clean = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    total, count = [0.0] * langid.DIMENSIONS, 0
+    for size, factor, first in ((3, 2654435761, 0), (4, 2246822519, langid.BUCKETS)):
+        for k in range(len(clean) - size + 1):
+            if clean[k : k + 3] != [32, 32, 32]:
+                key = sum(c << 8 * j for j, c in enumerate(clean[k : k + size]))
+                bucket = first + ((key * factor) % 2**32 >> 32 - int(math.log2(langid.BUCKETS)))
+                total = [t + float(v) for t, v in zip(total, model.vectors[bucket], strict=True)]
+                count += 1
+    logits = [(float(model.bias[j]) + sum(t / max(1, count) * float(model.weights[i, j]) for i, t in enumerate(total))) / model.temperature for j in range(len(model.languages))]
+    e = [math.exp(x - max(logits)) for x in logits]
+    return model.languages[e.index(max(e))], max(e) / sum(e)
+
+
+def test_language_equals_a_plain_implementation(spark, languages):
+    model = langid.train(spark.createDataFrame(languages, "doc_id long, text string, lang string"))
+    rng = random.Random(4)
+    texts = ["a", "Ab", "abc", "éa ß", "x  1   y", "HeLLo, wörld!"] + [text_of(rng.choice([*SYLLABLES]), rng, rng.randint(1, 30)) + rng.choice(["", " 12 -- ", "\n\n"]) for _ in range(60)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        lang, score = plain_language(model, t)
+        assert abs(got[k].score - score) < 1e-4 and (got[k].lang_pred == lang or score < 0.5001), t
+        assert got[k].rejected == (got[k].score < model.threshold)
+
+
 def test_additive_model_learns_single_features_and_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 5))
@@ -82,6 +122,54 @@ def test_quality_on_documents(spark, odd_docs):
     assert quality_gam.score(odd_docs.limit(0), model).collect() == []
 
 
+def plain_features(text):
+    """The statistics of a text, each by its own definition."""
+    raw = text.encode()
+    share = lambda ok: sum(map(ok, raw)) / max(1, len(raw))
+    kind = lambda b: "lower" if 97 <= b <= 122 else "upper" if 65 <= b <= 90 else "digit" if 48 <= b <= 57 else "mark" if chr(b) in ".,;:!?'\"()-" else "white" if b in (32, 9, 10, 11, 12, 13) else "other" if b >= 128 else "symbol"
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    lines = [x.encode() for x in re.findall(r"[^\x09-\x0D]+", text)]
+    n, sizes = len(words), [len(w) for w in words]
+    windows = [tuple(words[k : k + 5]) for k in range(n - 4)]
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    of = lambda k: share(lambda b: kind(b) == k)
+    return [
+        math.log1p(n), mean(sizes), math.sqrt(mean([(x - mean(sizes)) ** 2 for x in sizes])), math.log1p(max(sizes, default=0)),
+        of("symbol"), of("upper"), of("digit"), of("mark"), of("other"), of("white"),
+        len(set(words)) / n if n else 0, sum(x == y for x, y in zip(words, words[1:])) / n if n else 0, 1 - len(set(windows)) / len(windows) if windows else 0,
+        math.log1p(len(lines)), math.log1p(mean([len(x) for x in lines])), 1 - len(set(lines)) / len(lines) if lines else 0,
+        sum(x == 1 for x in sizes) / n if n else 0, sum(65 <= w[0] <= 90 for w in words) / n if n else 0, raw.count(b"|") / max(1, n), raw.count(b".") / max(1, n),
+    ]
+
+
+def test_quality_equals_a_plain_implementation(spark):
+    rng = random.Random(5)
+    parts = ["the", "The", "a", "12", "É", "|", "...", "x,y", "\n", "the a the a b", "\t", "word word"]
+    texts = ["", " ", "a", "\n\n", "A b. A b. A b. A b. A b."] + [rng.choice(["", " ", "\n"]).join([]) + " ".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(k, t, int(t.count("|") * 3 < len(t.split())) if k % 3 else None) for k, t in enumerate(texts)], "doc_id long, text string, quality int")
+    model = quality_gam.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    assert len(model.pairs) == quality_gam.PAIRS
+    got = {r.doc_id: r.score for r in quality_gam.score(docs, model).collect()}
+    bin_of = lambda cuts, x: sum(c <= x + 1e-12 for c in cuts)
+    for k, t in enumerate(texts):
+        x = plain_features(t)
+        z = model.base + sum(float(table[bin_of(cuts, v)]) for table, cuts, v in zip(model.tables, model.cuts, x, strict=True))
+        z += sum(float(table[bin_of(model.pair_cuts[a], x[a]), bin_of(model.pair_cuts[b], x[b])]) for a, b, table in model.pairs)
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9, t
+
+
+def test_of_conflicting_labels_the_smaller_counts(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, text_of("aa" if k % 2 else "bb", rng)) for k in range(120)], "doc_id long, text string")
+    once = [(k, k % 2) for k in range(120)]
+    both = once + [(k, 1) for k in range(0, 120, 4)] + [(k, None) for k in range(9)]
+    scores = []
+    for rows in (once, both):
+        model = quality_gam.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+        scores.append({r.doc_id: r.score for r in quality_gam.score(docs, model).collect()})
+    assert scores[0] == scores[1]
+
+
 def brute_scores(docs):
     low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))) for i, t in docs]
@@ -118,6 +206,13 @@ def test_backoff_scores_odd_rows(spark, odd_docs):
     assert ngram_lm.backoff_scores(odd_docs.limit(0)).collect() == []
 
 
+def test_backoff_counts_rows_without_an_id(spark):
+    docs = [(None, "a b c d"), ("x", "a b c d"), (None, "a b"), ("y", None)]
+    got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 9)) for r in ngram_lm.backoff_scores(spark.createDataFrame(docs, "doc_id string, text string")).collect())
+    want = sorted((str(i), n, round(s, 9)) for i, n, s in brute_scores([(str(i), t) for i, t in docs]))
+    assert got == want and len(got) == 4
+
+
 BENCH = [(1, "If Alice buys 12 apples and sells 5 apples to Bob, how many apples does Alice keep at home?"), (2, "the quick brown fox jumps over the lazy dog near the old river bank today"), (3, "one two three four five six"), (4, None), (5, "tiny")]
 
 
