@@ -3,12 +3,15 @@
 A text is halved until its parts are short, the parts are encoded on their own, and neighbours are joined bottom-up: the
 text around each join is encoded again in a window that doubles until it agrees exactly with what both sides have there.
 
-A stretch without white space (a long unsplit word) is halved between characters. There the window has to share a token
-with the left part and a token with the right part, each of the same id at the same characters: two neighbouring tokens of
-a valid BPE encoding stay neighbours in every valid encoding that has them side by side, so such a splice is the encoding of the
-whole. Other text is halved between words, and the window's ids must be those of the words at its place. Words that come
-again are encoded once and remembered, as white space always ends a pre-token. A window that has grown to the whole of both
-parts is the whole encoding itself.
+A stretch without white space (a long unsplit word), and any long text of a byte-level model, is halved between characters. There the
+window has to share a token with the left part and a token with the right part, each of the same id at the same characters: two
+neighbouring tokens of a valid BPE encoding stay neighbours in every valid encoding that has them side by side, so such a splice is the
+encoding of the whole. Models that drop white space always end a pre-token there: their texts are halved between words, the window's first and
+last word must have the ids that both sides have there, and what is between comes from the window. Words that come again are encoded once
+and remembered, so the parts between joins are look-ups. A window that has grown to the whole of both parts is the whole encoding itself.
+
+How a model splits and normalises is read from its file. One that is neither of these two kinds encodes each text whole.
+Parts are encoded in parallel on the cores of a task (``spark.task.cpus``).
 
 Nulls and empty texts have no tokens and decode to the empty string. Repeated rows give repeated results; extra columns
 stay out of the way because only the named ones are read. An empty table gives an empty table.
@@ -17,6 +20,7 @@ stay out of the way because only the named ones are read. An empty table gives a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -42,17 +46,40 @@ BATCH_CHARS = 1_000_000
 
 _MARK = re.compile(rb"(?<=[a-z])([,.;:!?])")
 
+# How the two kinds of models normalise and split.
+_WORD_RULES = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+)
+WORDS, BYTES, WHOLE = range(3)
+
+
+def kind_of(file: dict) -> int:
+    """Whether a model drops white space and lower-cases (WORDS), splits bytes as they are (BYTES), or does anything else."""
+    normal, split = file.get("normalizer"), file.get("pre_tokenizer") or {}
+    if split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and normal is None:
+        return BYTES
+    steps = split.get("pretokenizers") or [{}]
+    regex = (steps[0].get("pattern") or {}).get("Regex"), steps[0].get("behavior"), steps[0].get("invert")
+    if (normal or {}).get("normalizers") == _WORD_RULES[0] and regex == (_WORD_RULES[1], "Removed", True) and [x.get("type") for x in steps[1:]] == ["ByteLevel"]:
+        return WORDS
+    return WHOLE
+
+
 Node = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class TreeEncoder:
     """Encodes with the tokenizers library's model at ``path``; special-token handling, truncation and padding unused."""
 
-    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, window_chars: int = WINDOW_CHARS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, window_chars: int = WINDOW_CHARS, threads: int = 1):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.kind = kind_of(json.load(file))
         self.model.no_truncation()
         self.model.no_padding()
         self.leaf, self.window = max(1, leaf_chars), max(1, window_chars)
@@ -132,15 +159,23 @@ class TreeEncoder:
             nodes, cuts = joined, bounds
         return nodes[0]
 
-    def unsplit(self, text: str) -> np.ndarray:
-        """Ids of one stretch of text, halved between characters if it is long."""
-        cuts = self._cuts(text)
+    def _halved(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, whose parts are encoded together."""
+        cuts = [self._cuts(t) for t in texts]
+        parts = [(t[p:q], p) for t, c in zip(texts, cuts, strict=True) for p, q in zip(c, c[1:], strict=False)]
         nodes: list[Node] = []
         group = max(1, BATCH_CHARS // self.leaf)
-        for j in range(0, len(cuts) - 1, group):
-            part = cuts[j : j + group + 1]
-            nodes += self._nodes([text[p:q] for p, q in zip(part, part[1:], strict=False)], part[:-1])
-        return self._merge(text, nodes, cuts)[0]
+        for j in range(0, len(parts), group):
+            nodes += self._nodes(*map(list, zip(*parts[j : j + group], strict=True)))
+        out, at = [], 0
+        for t, c in zip(texts, cuts, strict=True):
+            out.append(self._merge(t, nodes[at : at + len(c) - 1], c)[0] if t else np.zeros(0, np.uint32))
+            at += len(c) - 1
+        return out
+
+    def unsplit(self, text: str) -> np.ndarray:
+        """Ids of one stretch of text, halved between characters if it is long."""
+        return self._halved([text])[0]
 
     def _learn(self, words: set[bytes]) -> None:
         """Encodes words that are not known yet."""
@@ -171,20 +206,25 @@ class TreeEncoder:
             if len(w) > self.leaf:
                 self.known[w] = self.unsplit(w.decode()).astype("<u4").tobytes()
 
-    def _tree(self, words: list[bytes], ids: list[bytes], lo: int, hi: int) -> bytes:
-        """Ids of the words lo to hi: halves, joined where a window over the join agrees with both."""
+    def _tree(self, words: list[bytes], ids: list[bytes], lo: int, hi: int) -> list[bytes]:
+        """Ids of the words lo to hi: halves, and between them those of a window whose rims agree with both."""
         if hi - lo <= LEAF_WORDS:
-            return b"".join(ids[lo:hi])
+            return ids[lo:hi]
         mid, width = (lo + hi) // 2, WINDOW_WORDS
         left, right = self._tree(words, ids, lo, mid), self._tree(words, ids, mid, hi)
         while True:
             a, b = max(lo, mid - width), min(hi, mid + width)
             window = self.unsplit(b" ".join(words[a:b]).decode()).astype("<u4").tobytes()
-            before, after = b"".join(ids[a:mid]), b"".join(ids[mid:b])
-            if window == before + after:
+            parts = left[a - lo :] + right[: b - mid]
+            if window == b"".join(parts):
                 return left + right
-            if a == lo and b == hi:
-                return window
+            # a rim is a word that has its own ids still, not a part of an earlier window
+            first, last = (ids[a] if a > lo else b""), (ids[b - 1] if b < hi else b"")
+            rims = (a == lo or first and parts[0] == first) and (b == hi or last and parts[-1] == last)
+            if rims and len(first) + len(last) <= len(window) and window.startswith(first) and window.endswith(last):
+                inner = window[len(first) : len(window) - len(last)]
+                new = [first, inner] + [b""] * (b - a - 3) + [last] if b - a > 2 else [window, b""]
+                return left[: a - lo] + new + right[b - mid :]
             width *= 2
 
     def _split(self, text: bytes) -> list[bytes]:
@@ -196,6 +236,10 @@ class TreeEncoder:
 
     def encode_bytes(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
+        if self.kind == WHOLE:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        if self.kind == BYTES:
+            return [x.astype("<u4").tobytes() for x in self._halved([t.decode() for t in texts])]
         split = [self._split(t) for t in texts]
         self._learn({w for words in split for w in words} - self.known.keys())
         out = []
@@ -205,7 +249,7 @@ class TreeEncoder:
             except KeyError:  # the memory was emptied in between
                 self._learn(set(words))
                 ids = list(map(self.known.__getitem__, words))
-            out.append(self._tree(words, ids, 0, len(words)) if len(words) > LEAF_WORDS else b"".join(ids))
+            out.append(b"".join(self._tree(words, ids, 0, len(words))))
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -232,10 +276,11 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     id_type = df.schema[id_col].dataType.simpleString()
     cols = [f"`{id_col}` {id_type}", "n_tokens bigint"] + ["ids array<int>"] * keep_ids + ["decoded string"] * keep_decoded + ["ids_sha256 string", "decoded_sha256 string"] * digests
     document_batches(df.sparkSession)
+    threads = int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
     source = df.select(id_col, text_col)
 
     def run(batches):
-        coder = TreeEncoder(tokenizer, leaf_chars)
+        coder = TreeEncoder(tokenizer, leaf_chars, threads=threads)
         for batch in batches:
             raw, bounds, _ = text_buffers(batch.column(1))
             for lo, hi in pieces(bounds, BATCH_CHARS):
