@@ -78,8 +78,8 @@ class TreeEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.kind = kind_of(json.load(file))
+        parts = {k: getattr(self.model, k) for k in ("normalizer", "pre_tokenizer")}
+        self.kind = kind_of({k: json.loads(x.__getstate__()) if x is not None else None for k, x in parts.items()})
         self.model.no_truncation()
         self.model.no_padding()
         self.leaf, self.window = max(1, leaf_chars), max(1, window_chars)

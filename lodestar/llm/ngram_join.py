@@ -43,6 +43,8 @@ BLOCK = 1024
 SLICE = 1 << 14
 #: Cross-component pairs of a member that are compared first.
 FIRST_PAIRS = 2
+#: Tables of so many rows of a few numbers are broadcast.
+MOST_BROADCAST = 100_000
 _FLUSH = 1 << 19
 _SEEN = 50_000
 _LEVEL_SEED = [U64(x) for x in (0, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -441,7 +443,9 @@ def _classes(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         opened = scratch.keep(opened, "opened")
         per_member = opened.groupBy("pivot", "doc_id").agg(F.count("*").alias("k"))
         many = per_member.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("k") / SLICE).cast("int").alias("slices"))
-        blocked = opened.join(many, "pivot").withColumn("slice", F.pmod(F.xxhash64("run"), F.col("slices")).cast("int"))
+        many = scratch.keep(many.where("blocks > 1 OR slices > 1"), "many")  # has a row for each so many members or rows only
+        blocked = opened.join(F.broadcast(many) if many.count() <= MOST_BROADCAST else many, "pivot", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("blocks", "slices")})
+        blocked = blocked.withColumn("slice", F.pmod(F.xxhash64("run"), F.col("slices")).cast("int"))
         blocked = blocked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "slice", "run", "doc_id", "component", "n", "sketch", "block")
         groups = blocked.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP, "run", "doc_id")
