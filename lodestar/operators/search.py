@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.similarity import effective_threshold, name_score
@@ -18,8 +18,12 @@ def ranked(df: DataFrame, name_col: str, terms: list[str], threshold: float = 0.
 
 def exact_suppresses(df: DataFrame, relation_col: str | None = None) -> DataFrame:
     """Where a relation has a hit of score 1, its other hits go."""
-    best = F.max("score").over(Window.partitionBy(relation_col if relation_col else F.lit(1)))
-    return df.withColumn("_best", best).where((F.col("_best") < 1.0) | (F.col("score") == 1.0)).drop("_best")
+    if relation_col:  # one row for each relation is joined
+        best = df.groupBy(relation_col).agg(F.max("score").alias("_best"))
+        kept = df.join(best, relation_col)
+    else:
+        kept = df.withColumn("_best", df.agg(F.max("score")).scalar())
+    return kept.where((F.col("_best") < 1.0) | (F.col("score") == 1.0)).select(*df.columns)
 
 
 def ranked_tiers(df: DataFrame, key_cols: list[str], tiers: list[tuple[str, str]], terms: list[str], threshold: float = 0.85) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import asof, graph, intervals, lines, resolve, rollup, search
-from lodestar.plans import commands, fixture, reports
+from lodestar.plans import code_oracles, commands, fixture, reports, views
 from lodestar.session import materialise
 from lodestar.sources.code import CodeIndex
 
@@ -36,7 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | code_oracles.oracle_sql()
 
 
 _SCORE = """CASE WHEN lower({n}) = '{q}' THEN 1.0 WHEN starts_with(lower({n}), '{q}') THEN 0.95 + 0.05 * {l} / strlen({n})
@@ -295,10 +295,6 @@ def budget_cap(spark, sf_dir):
     return rollup.budget_cap([a, b], ["k"], 120).select("k", "section")
 
 
-_EDGES = """WITH RECURSIVE edges AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src * 7 + dst * 11) % 25, dst) AS k FROM (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst
- FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)) WHERE k <= 3)"""
-
-
 def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a customers' nation and another one that supplies it."""
     c, o = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -307,68 +303,14 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
-def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small graph: up to three suppliers' nations for each customers' nation, by a fixed order of the pairs."""
-    pairs = nation_pairs(spark, sf_dir)
-    return materialise(rollup.top_per_group(pairs, ["src"], [F.expr("(src * 7 + dst * 11) % 25"), "dst"], 3), "nation-edges")
-
-
 def _node(spark: SparkSession, *keys: int) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "node int")
 
 
-@register(_EDGES + ", b(node, dist) AS (SELECT 0, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 25) SELECT node::INT AS node, min(dist)::INT AS dist FROM b GROUP BY node")
-def bfs_distance(spark, sf_dir):
-    return graph.bfs(nation_edges(spark, sf_dir), _node(spark, 0))
-
-
-@register(_EDGES + ", b(node, dist) AS (SELECT 3, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 2) SELECT node::INT AS node, min(dist)::INT AS dist FROM b WHERE dist > 0 GROUP BY node")
-def neighborhood_k2(spark, sf_dir):
-    return graph.neighbourhood(nation_edges(spark, sf_dir), _node(spark, 3), 2)
-
-
-@register(_EDGES + ", b(node, root) AS (SELECT unnest([1, 7, 20]), unnest([1, 7, 20]) UNION SELECT dst, root FROM b JOIN edges ON node = src) SELECT node::INT AS node, count(DISTINCT root) AS n_tests FROM b GROUP BY node")
-def reach_sets(spark, sf_dir):
-    return graph.reachable_tests(nation_edges(spark, sf_dir), _node(spark, 1, 7, 20))
-
-
-@register(_EDGES + """ SELECT node::INT AS node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, CASE WHEN sum(i) > 0 AND sum(o) > 0 THEN 'transit' WHEN sum(o) > 0 THEN 'entry' ELSE 'endpoint' END AS role
- FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges WHERE src % 2 = 0 UNION ALL SELECT dst, 0, 1 FROM edges WHERE src % 2 = 0) GROUP BY node""")
-def degree_roles(spark, sf_dir):
-    return rollup.degree_roles(nation_edges(spark, sf_dir).where("src % 2 = 0"), "src", "dst")
-
-
 _PATHS = """, p(node, path, done) AS (SELECT 0, [0], false UNION ALL SELECT dst, list_append(path, dst), dst IN ({targets}) FROM p JOIN edges ON node = src WHERE NOT done AND NOT list_contains(path, dst) AND len(path) < 6)
  SELECT array_to_string(path, '>') AS path, len(path)::INT AS length FROM p WHERE done"""
 
 
-@register(_EDGES + _PATHS.format(targets="3"))
-def bounded_paths(spark, sf_dir):
-    found, _ = graph.paths(nation_edges(spark, sf_dir), _node(spark, 0), _node(spark, 3), max_nodes=6, limit=None)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
-
-
-@register(_EDGES + _PATHS.format(targets="3, 11, 17"))
-def paths_to_module(spark, sf_dir):
-    targets = _node(spark, 3).unionByName(_node(spark, 11, 17)).distinct()
-    found, _ = graph.paths(nation_edges(spark, sf_dir), _node(spark, 0), targets, max_nodes=6, limit=None)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
-
-
-@register(_EDGES + """, f0 AS (SELECT unnest([0, 2, 4, 5, 8, 11, 13, 16, 19, 21, 24]) AS node),
- f1 AS (SELECT node FROM f0 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f0))),
- f2 AS (SELECT node FROM f1 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f1))),
- f3 AS (SELECT node FROM f2 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f2))),
- f4 AS (SELECT node FROM f3 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f3))),
- f5 AS (SELECT node FROM f4 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f4))),
- f6 AS (SELECT node FROM f5 UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f5)))
- SELECT n_nationkey AS node, n_nationkey IN (SELECT node FROM f6) AS flagged FROM nation""")
-def fixpoint_sink(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return graph.fixpoint(nation_edges(spark, sf_dir), _node(spark, 0, 2, 4, 5, 8, 11, 13, 16, 19, 21, 24), nodes)
-
-
-#: The queries named ..._whole are those above over all pairs of nations.
 _PAIRS = """WITH RECURSIVE edges AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst
  FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)"""
 _FLAGGED = (0, 2, 4, 5, 8, 11, 13, 16, 19, 21, 24)
@@ -379,40 +321,48 @@ def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(_PAIRS + ", b(node, dist) AS (SELECT 0, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 25) SELECT node::INT AS node, min(dist)::INT AS dist FROM b GROUP BY node")
-def bfs_distance_whole(spark, sf_dir):
+def bfs_distance(spark, sf_dir):
     return graph.bfs(whole_graph(spark, sf_dir), _node(spark, 0))
 
 
 @register(_PAIRS + ", b(node, dist) AS (SELECT 3, 0 UNION SELECT dst, dist + 1 FROM b JOIN edges ON node = src WHERE dist < 2) SELECT node::INT AS node, min(dist)::INT AS dist FROM b WHERE dist > 0 GROUP BY node")
-def neighborhood_k2_whole(spark, sf_dir):
+def neighborhood_k2(spark, sf_dir):
     return graph.neighbourhood(whole_graph(spark, sf_dir), _node(spark, 3), 2)
 
 
 @register(_PAIRS + ", b(node, root) AS (SELECT unnest([1, 7, 20]), unnest([1, 7, 20]) UNION SELECT dst, root FROM b JOIN edges ON node = src) SELECT node::INT AS node, count(DISTINCT root) AS n_tests FROM b GROUP BY node")
-def reach_sets_whole(spark, sf_dir):
+def reach_sets(spark, sf_dir):
     return graph.reachable_tests(whole_graph(spark, sf_dir), _node(spark, 1, 7, 20))
 
 
 @register(_PAIRS + """ SELECT node::INT AS node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, CASE WHEN sum(i) > 0 AND sum(o) > 0 THEN 'transit' WHEN sum(o) > 0 THEN 'entry' ELSE 'endpoint' END AS role
  FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node""")
-def degree_roles_whole(spark, sf_dir):
+def degree_roles(spark, sf_dir):
     return rollup.degree_roles(whole_graph(spark, sf_dir), "src", "dst")
 
 
 @register(_PAIRS + _PATHS.format(targets="3"))
-def bounded_paths_whole(spark, sf_dir):
+def bounded_paths(spark, sf_dir):
     found, _ = graph.paths(whole_graph(spark, sf_dir), _node(spark, 0), _node(spark, 3), max_nodes=6, limit=None, max_expansions=None)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
 
 
 @register(_PAIRS + _PATHS.format(targets="3, 11, 17"))
-def paths_to_module_whole(spark, sf_dir):
+def paths_to_module(spark, sf_dir):
     found, _ = graph.paths(whole_graph(spark, sf_dir), _node(spark, 0), _node(spark, 3, 11, 17), max_nodes=6, limit=None, max_expansions=None)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
 
 
-@register()
-def fixpoint_sink_whole(spark, sf_dir):
+def _fixpoint_sql() -> str:
+    """Each step adds a nation at least, so as many steps as there are others are enough."""
+    steps = ["f0 AS (SELECT unnest([" + ", ".join(map(str, _FLAGGED)) + "]) AS node)"]
+    for k in range(1, 26 - len(_FLAGGED)):
+        steps.append(f"f{k} AS MATERIALIZED (SELECT node FROM f{k - 1} UNION SELECT src FROM edges GROUP BY src HAVING bool_and(dst IN (SELECT node FROM f{k - 1})))")
+    return f"{_PAIRS}, {', '.join(steps)} SELECT n_nationkey AS node, n_nationkey IN (SELECT node FROM f{25 - len(_FLAGGED)}) AS flagged FROM nation"
+
+
+@register(_fixpoint_sql())
+def fixpoint_sink(spark, sf_dir):
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.fixpoint(whole_graph(spark, sf_dir), _node(spark, *_FLAGGED), nodes)
 
@@ -523,3 +473,13 @@ _code("blind_spots", commands.blind_spots)
 _code("coverage_dot", lambda c: reports.coverage_dot(commands.test_coverage(c), commands.resolved_edges(c)))
 _code("slice", lambda c: reports.source_slice(c, "src/lib.rs", 3, 9))
 _code("summary", reports.project_summary)
+_code("find_short", lambda c: views.find_with_fallbacks(c, "pa").withColumn("score", F.col("score").cast("double")))
+_code("find_relaxed", lambda c: views.find_with_fallbacks(c, "pasre"))
+_code("refs_by_function", lambda c: views.refs_by_function(commands.refs(c, "Event")))
+_code("member_sites", lambda c: views.member_sites(c, "Event"))
+_code("caller_sites", lambda c: views.caller_sites(c, "parse"))
+_code("symbols", lambda c: views.search_symbols(c, "e", public_only=True))
+_code("stringly_counts", lambda c: views.stringly_counts(commands.stringly(c, least=0.7)))
+_code("modules", lambda c: c.files.select("file_path", views.display_module(F.col("file_path")).alias("module")))
+_code("unresolved", views.unresolved_names)
+_code("external", views.external_calls)

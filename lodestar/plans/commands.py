@@ -50,7 +50,7 @@ def tree(code: CodeIndex) -> DataFrame:
 
 
 def resolved_edges(code: CodeIndex, exclude_tests: bool = False) -> DataFrame:
-    """(src, dst, file_path, line, column, rule): the conservative resolver. A call resolves only where one rule has one hit."""
+    """(src, dst, file_path, line, column, callee, call_kind, rule): the conservative resolver. A call resolves only where one rule has one hit."""
     fns = code.functions.where(~F.col("is_test")) if exclude_tests else code.functions
     target = fns.select(F.col("fn_id").alias("t_id"), F.col("name").alias("t_name"), F.col("kind_tag").alias("t_kind"), F.col("owner_type").alias("t_owner"), F.col("module_path").alias("t_module"), F.col("file_path").alias("t_file"), F.col("crate_key").alias("t_crate"))
     caller = fns.select(F.col("fn_id").alias("caller_id"), F.col("module_path").alias("c_module"), F.col("crate_key").alias("c_crate"), F.col("owner_type").alias("c_owner"))
@@ -85,7 +85,7 @@ def resolved_edges(code: CodeIndex, exclude_tests: bool = False) -> DataFrame:
         ("same_crate", ((plain & (F.size("_prefix") == 0)) | method) & (F.col("t_crate") == F.col("c_crate"))),
     ]
     found = resolve.cascade(j, ["caller_id", "callee", "call_kind", "file_path", "line", "column"], "t_id", [(n, F.col("_ok") & c) for n, c in rules])
-    return found.where(F.col("target").isNotNull()).select(F.col("caller_id").alias("src"), F.col("target").alias("dst"), "file_path", "line", "column", "rule")
+    return found.where(F.col("target").isNotNull()).select(F.col("caller_id").alias("src"), F.col("target").alias("dst"), "file_path", "line", "column", "callee", "call_kind", "rule")
 
 
 def callers(code: CodeIndex, name: str, depth: int = 1, exclude_tests: bool = False) -> DataFrame:
@@ -118,8 +118,8 @@ def refs(code: CodeIndex, name: str, kinds: list[str] = (), within: str | None =
         d = d.where(F.contains("file_path", F.lit(within)))
     rank = F.array_position(F.array(*(F.lit(k) for k in _PRIORITY)), F.col("kind"))
     d = rollup.top_per_group(d.withColumn("_rank", rank), ["file_path", "line", "col"], ["_rank"], 1)
-    spans = code.functions.select("file_path", "start_line", "end_line", F.col("name").alias("fn_name"), "is_test")
-    found = intervals.innermost(d, spans, ["file_path"], ["file_path", "line", "col"], "line", "start_line", "end_line", ["fn_name"])
+    spans = code.functions.select("file_path", "start_line", "end_line", F.col("name").alias("fn_name"), "is_test", "ordinal")
+    found = intervals.innermost(d, spans, ["file_path"], ["file_path", "line", "col"], "line", "start_line", "end_line", ["ordinal"])
     return found.select("file_path", "line", "col", "kind", F.col("span_fn_name").alias("enclosing_function"), F.coalesce("span_is_test", F.lit(False)).alias("is_test"))
 
 
@@ -150,8 +150,8 @@ def grep(code: CodeIndex, pattern: str, ignore_case: bool = False, fixed: bool =
     """Matching lines with the innermost function around each."""
     d = code.source_lines if not within else code.source_lines.where(F.contains("file_path", F.lit(within)))
     hits = lines.grep(d, pattern, ignore_case, fixed)
-    spans = code.functions.select("file_path", "start_line", "end_line", "fn_id", F.col("name").alias("fn_name"), "is_test")
-    found = intervals.innermost(hits, spans, ["file_path"], ["file_path", "line"], "line", "start_line", "end_line", ["fn_name"])
+    spans = code.functions.select("file_path", "start_line", "end_line", "fn_id", F.col("name").alias("fn_name"), "is_test", "ordinal")
+    found = intervals.innermost(hits, spans, ["file_path"], ["file_path", "line"], "line", "start_line", "end_line", ["ordinal"])
     found = found.select("file_path", "line", "text", F.col("span_fn_id").alias("fn_id"), F.col("span_fn_name").alias("fn_name"), F.coalesce("span_is_test", F.lit(False)).alias("is_test"))
     return found.where(~F.col("is_test")) if exclude_tests else found
 
@@ -314,9 +314,8 @@ def test_coverage(code: CodeIndex, test_filter: str | None = None, include_ignor
         tests = tests.where(~F.exists("attributes", lambda a: F.startswith(a, F.lit("ignore"))))
     if test_filter:
         tests = tests.where(F.contains("fn_id", F.lit(test_filter)))
-    calls = code.call_sites.where("call_kind = 'function' AND callee_base <> 'complex_call'").select("file_path", "line", "column").distinct()
     deferred = code.relation("flow").where("fact = 'deferred'").select("file_path", "line").distinct()
-    edges = resolved_edges(code).join(calls, ["file_path", "line", "column"], "left_semi").join(deferred, ["file_path", "line"], "left_anti")
+    edges = resolved_edges(code).where("call_kind = 'function'").join(deferred, ["file_path", "line"], "left_anti")
     reached = graph.reachable_tests(edges, tests.select(F.col("fn_id").alias("node")))
     return code.functions.where(~F.col("is_test")).select("fn_id").join(reached.withColumnRenamed("node", "fn_id"), "fn_id", "left").fillna(0)
 
@@ -324,9 +323,9 @@ def test_coverage(code: CodeIndex, test_filter: str | None = None, include_ignor
 def blind_spots(code: CodeIndex) -> DataFrame:
     """(file_path, line, column, callee, reason) of calls that the coverage map can't follow."""
     sites = code.call_sites.where("NOT call_kind LIKE '%via_alias' AND call_kind <> 'framework'")
-    proven = resolved_edges(code).select("file_path", "line", "column").distinct().withColumn("proven", F.lit(True))
+    proven = resolved_edges(code).select("file_path", "line", "column", "callee").distinct().withColumn("proven", F.lit(True))
     deferred = code.relation("flow").where("fact = 'deferred'").select("file_path", "line").distinct().withColumn("deferred", F.lit(True))
-    d = sites.join(proven, ["file_path", "line", "column"], "left").join(deferred, ["file_path", "line"], "left")
+    d = sites.join(proven, ["file_path", "line", "column", "callee"], "left").join(deferred, ["file_path", "line"], "left")
     reason = rollup.first_reason([
         ("outside_function", F.col("caller_id").isNull()),
         ("deferred", F.coalesce("deferred", F.lit(False))),

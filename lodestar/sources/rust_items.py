@@ -237,6 +237,7 @@ class Parser:
             "kind_tag": kind.split("(")[0], "owner_type": scope.owner, "cfg_attrs": at["cfg"], "module_path": list(scope.module), "attributes": at["attrs"],
         }
         row["fn_id"] = f"{self.path}:{row['start_line']}:{name}"
+        row["ordinal"] = len(self.out.functions)
         self.out.functions.append(row)
         self.types_in(self.close[j - 1] if self.text(j - 1) == ")" else i, stop, row)
         for k, p in enumerate(params):
@@ -327,6 +328,12 @@ class Parser:
             trait = joined(head[:split]).lstrip("!")
             bare = re.sub(r"<.*", "", trait)
             self.out.impls.append({"type_name": name, "trait_path": bare, "trait_name": bare.split("::")[-1], "impl_kind": "handwritten", "file_path": self.path, "line": self.t[i].line})
+            depth = 0  # of the trait only the types between angle brackets are references to types
+            for k in range(j, j + split):
+                depth += {"<": 1, ">": -1, ">>": -2}.get(self.text(k), 0)
+                if depth:
+                    self.types_in(k, k + 1, None)
+        self.types_in(j + (split + 1 if split is not None else 0), where, None)
         if self.text(stop) == "{":
             self.items(stop + 1, self.close[stop], Scope(scope.module, scope.cfg, scope.test, name), None)
             return self.close[stop] + 1
@@ -371,7 +378,9 @@ class Parser:
     # bodies
 
     def emit(self, kind: str, i: int, fn: dict | None, qualifier: str = "") -> None:
-        self.out.occurrences.append({"file_path": self.path, "line": self.t[i].line, "col": self.t[i].col, "ident": self.t[i].text, "qualifier": qualifier, "kind": kind, "fn_id": fn and fn["fn_id"]})
+        """An occurrence of the identifier at i, at the place where its path begins."""
+        at = self.t[i if kind in ("method", "field", "macro") else self.path_back(i)]
+        self.out.occurrences.append({"file_path": self.path, "line": at.line, "col": at.col, "ident": self.t[i].text, "qualifier": qualifier, "kind": kind, "fn_id": fn and fn["fn_id"]})
 
     def types_in(self, i: int, end: int, fn: dict | None) -> None:
         for k in range(i, min(end, len(self.t))):
@@ -423,7 +432,40 @@ class Parser:
                 depth -= 1
         return re.sub(r"(::)+", "::", out).strip(":")
 
-    def call(self, kind: str, callee: str, base: str, i: int, fn: dict | None, args: list[str], position: int | None = None) -> None:
+    def chain_back(self, r: int) -> int:
+        """Start of the expression with postfix parts (calls, fields, indices, ``?``) whose last token is at r."""
+        while r > 0:
+            x = self.text(r)
+            if x == "?":
+                r -= 1
+                continue
+            if x in (")", "]", "}") and self.t[r].kind == "punct":
+                r = self.close[r]
+                before = self.t[r - 1]
+                if before.kind == "ident" and before.text not in _NOT_CALLS or before.text in (")", "]", "?"):
+                    r -= 1
+                    continue
+                if before.text == "!" and self.t[r - 2].kind == "ident":
+                    r = self.path_back(r - 2)
+                elif before.text == ">":  # the type arguments of a call
+                    depth, k = 0, r - 1
+                    while k > 0:
+                        depth += {">": 1, ">>": 2, "<": -1, "<<": -2}.get(self.text(k), 0)
+                        if depth <= 0:
+                            break
+                        k -= 1
+                    if self.text(k - 1) == "::" and self.t[k - 2].kind == "ident":
+                        r = k - 2
+                        continue
+            elif self.t[r].kind == "ident":
+                r = self.path_back(r)
+            if self.text(r - 1) != ".":
+                return r
+            r -= 2
+        return max(r, 0)
+
+    def call(self, kind: str, callee: str, base: str, i: int, fn: dict | None, args: list[str]) -> None:
+        """A call site, at the place where the whole call expression begins."""
         self.out.call_sites.append({"caller_id": fn and fn["fn_id"], "caller_name": fn and fn["name"], "callee": callee, "callee_base": base, "call_kind": kind, "file_path": self.path, "line": self.t[i].line, "column": self.t[i].col, "args": args})
 
     def macro(self, i: int, scope: Scope, fn: dict | None, statement: bool) -> int:
@@ -435,7 +477,7 @@ class Parser:
             return i + 1
         if not statement:
             name = self.path_text(self.path_back(i), i)
-            self.call("macro", name + "!", self.text(i) + "!", i, fn, [joined(p) for p in split_top(self.t[j + 1 : self.close[j]])])
+            self.call("macro", name + "!", self.text(i) + "!", self.path_back(i), fn, [joined(p) for p in split_top(self.t[j + 1 : self.close[j]])])
         self.emit("macro", i, fn)
         self.body(j + 1, self.close[j], scope, fn, in_macro=True)
         return self.close[j] + 1
@@ -499,7 +541,7 @@ class Parser:
                 k = self.name(k, i, end, scope, fn, in_macro, patterns)
                 continue
             if t.text == "(" and not in_macro and k > i and self.text(k - 1) in (")", "]"):
-                self.call("function", "complex_call", "complex_call", k, fn, [])
+                self.call("function", "complex_call", "complex_call", self.chain_back(k - 1), fn, [])
             k += 1
 
     def name(self, k: int, i: int, end: int, scope: Scope, fn: dict | None, in_macro: bool, patterns: set[int]) -> int:
@@ -521,11 +563,11 @@ class Parser:
                     plain = self.t[r].kind == "ident" and self.text(r - 1) != "."
                     start = self.path_back(r) if plain else r
                     receiver = self.path_text(start, r) if plain else "receiver"
-                    self.call("method", f"{receiver}.{self.text(k)}", self.text(k), k, fn, [joined(p) for p in split_top(self.t[open_at + 1 : self.close[open_at]])])
+                    self.call("method", f"{receiver}.{self.text(k)}", self.text(k), self.chain_back(r), fn, [joined(p) for p in split_top(self.t[open_at + 1 : self.close[open_at]])])
             elif self.text(k) != "await":
                 self.emit("field", k, fn)
                 if calls is False and self.text(k + 1) == ")" and self.text(k + 2) == "(" and not in_macro:
-                    self.call("function", f"field::{self.text(k)}", self.text(k), k, fn, [])
+                    self.call("function", f"field::{self.text(k)}", self.text(k), self.close[k + 1], fn, [])
             return k + 1
         if after == "::" and not turbofish:
             if self.text(k + 2) and self.t[k + 2].kind == "ident" and self.text(k + 3) != "::":
@@ -539,7 +581,7 @@ class Parser:
             self.emit("call", k, fn, qualifier)
             if not in_macro:
                 callee = f"{qualifier}::{self.text(k)}" if qualifier else self.text(k)
-                self.call("function", callee, self.text(k), k, fn, [joined(p) for p in split_top(self.t[open_at + 1 : self.close[open_at]])])
+                self.call("function", callee, self.text(k), start, fn, [joined(p) for p in split_top(self.t[open_at + 1 : self.close[open_at]])])
         elif after == "{" and self.text(k)[:1].isupper() and before not in ("for", "impl", "in"):
             self.emit("struct", k, fn, qualifier)
         elif self.text(k)[:1].isupper() and before in (":", "<", "as", "->", "&", "dyn", "impl"):

@@ -45,12 +45,12 @@ def rows(spark, folder, name):
 
 
 def test_walks(spark, folder, pairs):
-    assert rows(spark, folder, "bfs_distance_whole") == set(reached(pairs, 0).items())
+    assert rows(spark, folder, "bfs_distance") == set(reached(pairs, 0).items())
     one = {b for a, b in pairs if a == 3}
     two = {b for a, b in pairs if a in one} - one
-    assert rows(spark, folder, "neighborhood_k2_whole") == {(k, 1) for k in one} | {(k, 2) for k in two}
+    assert rows(spark, folder, "neighborhood_k2") == {(k, 1) for k in one} | {(k, 2) for k in two}
     tests = [reached(pairs, k) for k in (1, 7, 20)]
-    assert rows(spark, folder, "reach_sets_whole") == {(k, n) for k in range(25) if (n := sum(k in t for t in tests))}
+    assert rows(spark, folder, "reach_sets") == {(k, n) for k in range(25) if (n := sum(k in t for t in tests))}
 
 
 def test_degrees(spark, folder, pairs):
@@ -59,14 +59,14 @@ def test_degrees(spark, folder, pairs):
         n_in, n_out = sum(b == k for _, b in pairs), sum(a == k for a, _ in pairs)
         want.add((k, n_in, n_out, "transit" if n_in and n_out else "entry" if n_out else "endpoint"))
     assert any(r[0] % 2 and r[2] > 3 for r in want)
-    assert rows(spark, folder, "degree_roles_whole") == want
+    assert rows(spark, folder, "degree_roles") == want
 
 
 def test_paths(spark, folder, pairs):
-    assert rows(spark, folder, "bounded_paths_whole") == {(">".join(map(str, p)), len(p)) for p in all_paths(pairs, 0, 3, 6)}
+    assert rows(spark, folder, "bounded_paths") == {(">".join(map(str, p)), len(p)) for p in all_paths(pairs, 0, 3, 6)}
     goals = {3, 11, 17}
     want = {(">".join(map(str, p)), len(p)) for g in goals for p in all_paths(pairs, 0, g, 6) if not goals & set(p[:-1])}
-    assert rows(spark, folder, "paths_to_module_whole") == want
+    assert rows(spark, folder, "paths_to_module") == want
 
 
 def test_fixpoint(spark, folder, pairs):
@@ -75,4 +75,4 @@ def test_fixpoint(spark, folder, pairs):
         flagged = more
         more = flagged | {a for a, _ in pairs if all(b in flagged for x, b in pairs if x == a)}
     assert 23 in flagged
-    assert rows(spark, folder, "fixpoint_sink_whole") == {(k, k in flagged) for k in range(25)}
+    assert rows(spark, folder, "fixpoint_sink") == {(k, k in flagged) for k in range(25)}
