@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,18 @@ def grep(source_lines: DataFrame, pattern: str, ignore_case: bool = False, fixed
     return source_lines.where(F.rlike("text", F.lit(checked_pattern(pattern, ignore_case, fixed))))
 
 
-def with_context(df: DataFrame, key: str, text_col: str, hit: Column, before: int, after: int) -> DataFrame:
-    """(key, line, at, text): each line that meets ``hit`` (on the element ``x``), with its neighbours, clipped to the text.
+def with_context(df: DataFrame, key: str, text_col: str, hit: Callable[[Column], Column], before: int, after: int) -> DataFrame:
+    """(key, line, at, text): each line that meets ``hit``, with its neighbours, clipped to the text.
 
-    The lines of a text stay in one array, so the context needs no self-join.
+    Hits are found inside the array of a text's lines and take their neighbours with them, so the context needs no self-join and no copy
+    of the array goes out with a line.
     """
     d = df.select(key, lines(F.col(text_col)).alias("_lines"))
-    d = d.select(key, "_lines", F.posexplode("_lines").alias("_k", "x")).where(hit)
-    around = F.sequence(F.greatest(F.lit(0), F.col("_k") - before), F.least(F.size("_lines") - 1, F.col("_k") + after))
-    d = d.select(key, (F.col("_k") + 1).alias("line"), "_lines", F.explode(around).alias("_at"))
-    return d.select(key, "line", (F.col("_at") + 1).alias("at"), F.get("_lines", F.col("_at")).alias("text"))
+    places = F.filter(F.transform("_lines", lambda x, k: F.when(hit(x), k)), lambda k: k.isNotNull())
+    first = lambda k: F.greatest(F.lit(0), k - before)
+    around = F.transform(places, lambda k: F.struct((k + 1).alias("line"), first(k).alias("first"), F.slice("_lines", first(k) + 1, F.lit(after + 1) + k - first(k)).alias("texts")))
+    d = d.select(key, F.explode(around).alias("_h"))
+    return d.select(key, "_h.line", F.col("_h.first").alias("_first"), F.posexplode("_h.texts").alias("_k", "text")).select(key, "line", (F.col("_first") + F.col("_k") + 1).alias("at"), "text")
 
 
 def slice_lines(df: DataFrame, key: str, text_col: str, first: int, last: int) -> DataFrame:

@@ -21,6 +21,21 @@ def cascade(candidates: DataFrame, site: list[str], target: str, rules: list[tup
     return found.select(*site, chosen.alias("target"), F.coalesce(rule, F.lit("unresolved")).alias("rule"))
 
 
+def keyed_cascade(sites: DataFrame, site: list[str], asked: Column, targets: DataFrame, target: str, offered: Column) -> DataFrame:
+    """(site, target, rule) of the sites that a rule decides, where every rule is an equality.
+
+    ``asked`` is an array of (rank, rule, key) and ``offered`` an array of a target's keys; entries with a null key don't count. A key of one
+    target only answers, and of a site's answers the lowest rank decides. Targets are counted by key before the join, so that a name that
+    many targets share gives one row and no product of sites and targets.
+    """
+    lookup = targets.select(F.col(target).alias("target"), F.explode(F.array_distinct(F.array_compact(offered))).alias("_key"))
+    lookup = lookup.groupBy("_key").agg(F.count("*").alias("_n"), F.max("target").alias("target")).where("_n = 1").drop("_n")
+    open_keys = sites.select(*site, F.explode(F.filter(asked, lambda a: a["key"].isNotNull())).alias("_a"))
+    found = open_keys.withColumn("_key", F.col("_a.key")).join(lookup, "_key")
+    best = found.groupBy(*site).agg(F.min(F.struct(F.col("_a.rank").alias("rank"), F.col("_a.rule").alias("rule"), "target")).alias("_best"))
+    return best.select(*site, "_best.target", "_best.rule")
+
+
 def strict_or_all(candidates: DataFrame, site: list[str], strict: Column) -> DataFrame:
     """Candidates that meet the strict condition; all of a site's if none does. ``mode`` says which."""
     hit = F.max(F.coalesce(strict, F.lit(False))).over(Window.partitionBy(*site))

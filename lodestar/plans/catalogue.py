@@ -88,7 +88,7 @@ def grep_by_file(spark, sf_dir):
 
 @register(f"SELECT h.doc_id, h.line, c.line AS at, c.text FROM {_LINES} h JOIN {_LINES} c ON h.doc_id = c.doc_id AND c.line BETWEEN h.line - 1 AND h.line + 2 WHERE contains(h.text, 'nicht')")
 def grep_context(spark, sf_dir):
-    return lines.with_context(table(spark, sf_dir, "documents"), "doc_id", "text", F.contains("x", F.lit("nicht")), 1, 2)
+    return lines.with_context(table(spark, sf_dir, "documents"), "doc_id", "text", lambda x: F.contains(x, F.lit("nicht")), 1, 2)
 
 
 @register(f"SELECT doc_id, line FROM {_LINES} WHERE regexp_matches(text, 'token') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
@@ -49,43 +49,70 @@ def tree(code: CodeIndex) -> DataFrame:
     return rollup.kind_counts(d, "file_path", "k", kinds, every=code.files)
 
 
-def resolved_edges(code: CodeIndex, exclude_tests: bool = False) -> DataFrame:
-    """(src, dst, file_path, line, column, callee, call_kind, rule): the conservative resolver. A call resolves only where one rule has one hit."""
+def _joined(*parts) -> Column:
+    """One key of several parts; null if one of them is."""
+    return F.concat(*(x for k, p in enumerate(parts) for x in ([F.lit("\x01")] if k else []) + [F.lit(p) if not isinstance(p, Column) else p]))
+
+
+def _offered_keys(functions: DataFrame) -> Column:
+    """What calls may name a function by: name and kind, with owner, file or crate, and for plain functions each end of the module path."""
+    name, file = F.col("name"), F.col("file_path")
+    plain = F.col("kind_tag") == "function"
+    shape = F.when(plain, "plain").otherwise("member")
+    module = F.col("module_path")
+    ends = F.when(F.size(module) > 0, F.transform(F.sequence(F.lit(1), F.size(module)), lambda k: F.array_join(F.slice(module, k, F.size(module)), "::"))).otherwise(F.array(F.lit("")))
+    paths = F.when(plain, F.transform(ends, lambda e: _joined("path", name, e))).otherwise(F.array().cast("array<string>"))
+    member = F.when(~plain, F.col("owner_type"))
+    return F.concat(paths, F.array(_joined("any", name), _joined("name", name, shape), _joined("file", name, shape, file), _joined("crate", name, shape, F.col("crate_key")), _joined("owner", name, member), _joined("owner_file", name, member, file)))
+
+
+def resolved_edges(code: CodeIndex, exclude_tests: bool = False, sole_first: bool = False) -> DataFrame:
+    """(src, dst, file_path, line, column, callee, call_kind, rule): the conservative resolver. A call resolves only where one rule has one hit.
+
+    With ``sole_first`` the only function of a name is taken whatever its kind.
+    """
     fns = code.functions.where(~F.col("is_test")) if exclude_tests else code.functions
-    target = fns.select(F.col("fn_id").alias("t_id"), F.col("name").alias("t_name"), F.col("kind_tag").alias("t_kind"), F.col("owner_type").alias("t_owner"), F.col("module_path").alias("t_module"), F.col("file_path").alias("t_file"), F.col("crate_key").alias("t_crate"))
     caller = fns.select(F.col("fn_id").alias("caller_id"), F.col("module_path").alias("c_module"), F.col("crate_key").alias("c_crate"), F.col("owner_type").alias("c_owner"))
     sites = code.call_sites.where(F.col("call_kind").isin("function", "method", "framework", "function_via_alias", "method_via_alias", "framework_via_alias"))
-    sites = sites.select("caller_id", "callee", "callee_base", "call_kind", "file_path", "line", "column").distinct().join(caller, "caller_id")
-    j = sites.join(target, sites["callee_base"] == target["t_name"], "left")
-    method = F.startswith("call_kind", F.lit("method"))
+    site = ["caller_id", "callee", "call_kind", "file_path", "line", "column"]
     parts = F.split("callee", "::")
-    prefix = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    owner = F.try_element_at(prefix, F.lit(-1))
-    typed = (F.size(prefix) > 0) & F.rlike(F.coalesce(owner, F.lit("")), F.lit("^[A-Z]"))
-    shape = F.when(method, F.col("t_kind") != "function").when(typed, F.col("t_kind") != "function").otherwise(F.col("t_kind") == "function")
-    j = j.withColumn("_ok", F.coalesce(shape, F.lit(False))).withColumn("_prefix", prefix).withColumn("_typed", typed)
+    d = sites.select(*site, "callee_base").distinct().join(caller, "caller_id").withColumn("_prefix", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
+    owner = F.try_element_at("_prefix", F.lit(-1))
+    d = d.withColumn("_method", F.startswith("call_kind", F.lit("method"))).withColumn("_typed", F.coalesce(F.rlike(owner, F.lit("^[A-Z]")), F.lit(False)))
+    d = d.withColumn("_owner", F.when(F.col("_typed"), F.when(owner == "Self", F.col("c_owner")).otherwise(owner)))
     # crate, self and super in front of a path
-    clean = F.filter("_prefix", lambda p: ~p.isin("crate", "self", "super"))
-    supers = F.size(F.filter("_prefix", lambda p: p == "super"))
+    d = d.withColumn("_clean", F.filter("_prefix", lambda p: ~p.isin("crate", "self", "super")))
+    clean, supers = F.col("_clean"), F.size(F.filter("_prefix", lambda p: p == "super"))
     base = F.slice("c_module", F.lit(1), F.greatest(F.size("c_module") - supers, F.lit(0)))
-    relative = F.array_contains("_prefix", F.lit("self")) | (supers > 0)
-    path = F.when(relative, F.concat(base, clean)).otherwise(clean)
-    plain = ~method & ~F.col("_typed")
-    qualified = plain & (F.size("_prefix") > 0)
-    named_owner = F.when(owner == "Self", F.col("c_owner")).otherwise(owner)
+    path = F.when(F.array_contains("_prefix", F.lit("self")) | (supers > 0), F.concat(base, clean)).otherwise(clean)
+    qualified = ~F.col("_method") & ~F.col("_typed") & (F.size("_prefix") > 0)
+    bare = F.col("_method") | (~F.col("_typed") & (F.size("_prefix") == 0))
+    name, file = F.col("callee_base"), F.col("file_path")
+    shape = F.when(F.col("_method"), "member").otherwise("plain")
+    under = lambda segments: _joined("path", name, F.array_join(segments, "::"))
+    whole = F.concat("c_module", clean)
     rules = [
-        ("owner", F.col("_typed") & (F.col("t_owner") == named_owner)),
-        ("owner_in_file", F.col("_typed") & (F.col("t_owner") == named_owner) & (F.col("t_file") == F.col("file_path"))),
-        ("path", qualified & (F.when(F.size(path) > 0, text.ends_with(F.col("t_module"), path)).otherwise(F.size("t_module") == 0))),
-        ("caller_module_path", qualified & text.ends_with(F.col("t_module"), F.concat("c_module", clean))),
-        ("path_without_crate", qualified & (F.size(clean) > 1) & text.ends_with(F.col("t_module"), F.slice(clean, F.lit(2), F.greatest(F.size(clean) - 1, F.lit(1))))),
-        ("last_segment", qualified & (F.try_element_at("t_module", F.lit(-1)) == F.try_element_at(clean, F.lit(-1)))),
-        ("only_one", (plain & (F.size("_prefix") == 0)) | method),
-        ("same_file", ((plain & (F.size("_prefix") == 0)) | method) & (F.col("t_file") == F.col("file_path"))),
-        ("same_crate", ((plain & (F.size("_prefix") == 0)) | method) & (F.col("t_crate") == F.col("c_crate"))),
+        ("owner", _joined("owner", name, F.col("_owner"))),
+        ("owner_in_file", _joined("owner_file", name, F.col("_owner"), file)),
+        ("path", F.when(qualified, under(path))),
+        ("caller_module_path", F.when(qualified & (F.size(whole) > 0), under(whole))),
+        ("path_without_crate", F.when(qualified & (F.size(clean) > 1), under(F.slice(clean, F.lit(2), F.greatest(F.size(clean) - 1, F.lit(1)))))),
+        ("last_segment", F.when(qualified, _joined("path", name, F.try_element_at(clean, F.lit(-1))))),
+        ("only_one", F.when(bare, _joined("name", name, shape))),
+        ("same_file", F.when(bare, _joined("file", name, shape, file))),
+        ("same_crate", F.when(bare, _joined("crate", name, shape, F.col("c_crate")))),
     ]
-    found = resolve.cascade(j, ["caller_id", "callee", "call_kind", "file_path", "line", "column"], "t_id", [(n, F.col("_ok") & c) for n, c in rules])
-    return found.where(F.col("target").isNotNull()).select(F.col("caller_id").alias("src"), F.col("target").alias("dst"), "file_path", "line", "column", "callee", "call_kind", "rule")
+    if sole_first:
+        rules.insert(0, ("sole", _joined("any", name)))
+    asked = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(rule).alias("rule"), key.alias("key")) for k, (rule, key) in enumerate(rules)))
+    found = resolve.keyed_cascade(d, site, asked, fns, "fn_id", _offered_keys(fns))
+    return found.select(F.col("caller_id").alias("src"), F.col("target").alias("dst"), "file_path", "line", "column", "callee", "call_kind", "rule")
+
+
+def project_calls(code: CodeIndex) -> DataFrame:
+    """(src, dst, rule) of plain calls and handlers for context bundles: the only function of a name is the target, whatever its kind."""
+    d = resolved_edges(code, sole_first=True).where("call_kind IN ('function', 'framework')")
+    return d.groupBy("src", "dst").agg(F.min("rule").alias("rule"))
 
 
 def callers(code: CodeIndex, name: str, depth: int = 1, exclude_tests: bool = False) -> DataFrame:

@@ -28,11 +28,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``by`` names columns of few values to keep in folders of their own, which come last then.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
     return stored

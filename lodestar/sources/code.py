@@ -38,11 +38,11 @@ def _parse(batches):
 
 
 class CodeIndex:
-    """The relations of some files (file_path, content, crate_label). The parse is written once and read by all queries."""
+    """The relations of some files (file_path, content, crate_label). The parse is written once, a folder for each relation, and read by all queries."""
 
     def __init__(self, files: DataFrame, parsed: DataFrame | None = None, expand: bool = True):
         self.files = files
-        self._parsed = parsed if parsed is not None else materialise(files.select("file_path", "content").mapInPandas(_parse, EXTRACTED), "code")
+        self._parsed = parsed if parsed is not None else materialise(files.select("file_path", "content").mapInPandas(_parse, EXTRACTED), "code", by=("relation",))
         self._expand = expand
 
     @classmethod

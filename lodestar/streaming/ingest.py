@@ -22,7 +22,7 @@ def ingest(files: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Appends the relations of arriving files to ``target``; a batch that is tried again writes its own folder again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("file_path", "content").mapInPandas(_parse, EXTRACTED).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.select("file_path", "content").mapInPandas(_parse, EXTRACTED).write.mode("overwrite").partitionBy("relation").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
