@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontam, langid, ngram_join, secrets
+from lodestar.llm import bloom, bpe, decontam, langid, ngram_join, secrets
 from lodestar.llm.queries import tokenizer_path
 from lodestar.llm.sampling import held_out
 from lodestar.session import materialise
@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         classes = ngram_join.link_classes(docs)
-        gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return bloom.without(docs, gone, "doc_id")  # the texts of the others are not shuffled
     named = docs.where(F.col("doc_id").isNotNull())
     texts = named.select("doc_id", "text").distinct().orderBy("doc_id", "text")
     texts = materialise(texts.withColumn("_key", F.monotonically_increasing_id()), "texts")  # in the order of the ids

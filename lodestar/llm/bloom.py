@@ -6,9 +6,11 @@ false hits pass, never fewer true ones, and an exact join behind it removes them
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 32 << 20
@@ -81,3 +83,23 @@ def build(df: DataFrame, key_col: str, blocks: int) -> np.ndarray:
         part = np.frombuffer(bits, np.uint64)
         words[at : at + len(part)] = part
     return words
+
+
+def among(keys: DataFrame, key_col: str, count: int) -> Callable[[str], Column]:
+    """A condition on columns of the type of ``key_col``, which has about ``count`` values: false only for what is not among them, nulls too.
+    Workers get hashes alone; the rest of a row stays in the JVM."""
+    blocks = size_for(count)
+    words = keys.sparkSession.sparkContext.broadcast(build(keys.where(F.col(key_col).isNotNull()).select(F.xxhash64(key_col).alias("h")), "h", blocks))
+
+    @F.arrow_udf("boolean")
+    def hit(h: pa.Array) -> pa.Array:
+        return pa.array(might_contain(words.value, h.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return lambda column: hit(F.xxhash64(column))
+
+
+def without(df: DataFrame, gone: DataFrame, key_col: str) -> DataFrame:
+    """The rows of ``df`` whose ``key_col`` is not in ``gone``; a null is in no table. Only rows that a filter of ``gone`` lets pass are shuffled, for
+    the exact join; the others stay where they are."""
+    hit = among(gone, key_col, gone.count())
+    return df.where(~hit(key_col)).unionByName(df.where(hit(key_col)).join(gone.select(key_col), key_col, "left_anti").select(*df.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import bloom
 from lodestar.llm.textblock import U64, mix, pieces, release_memory, sorted_groups, text_buffers, window_hashes, word_hashes, word_spans
 from lodestar.operators.components import connected_components
-from lodestar.session import Scratch, document_batches, shuffle_partitions
+from lodestar.session import Scratch, document_batches, drop, shuffle_partitions
 
 WIDTH = 5
 #: Similarity of 0.8 or more, as a fraction.
@@ -412,27 +412,28 @@ def _classes(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
 
     star = may(members.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     star = scratch.keep(star, "star")
-    candidates = members.select("doc_id").distinct()
-    blocks = bloom.size_for(candidates.count())
-    flt = spark.sparkContext.broadcast(bloom.build(candidates, "doc_id", blocks))
-
-    def sets_of(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = np.where(np.isnan(ids), -1, ids).astype(np.int64) if ids.dtype.kind == "f" else ids.astype(np.int64)
-            part = batch.filter(pa.array(bloom.might_contain(flt.value, ids)))
-            if part.num_rows:
-                raw, bounds, _ = text_buffers(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(raw, bounds, width)], pa.binary())], ["doc_id", "elements"])
-
-    # what the filter lets pass beside the candidates meets no pair
-    sets = scratch.keep(docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets_of, "doc_id bigint, elements binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link. Sets are made of the pairs' own documents only, and go when these are compared."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        flt = spark.sparkContext.broadcast(bloom.build(ends, "doc_id", bloom.size_for(2 * pairs.count())))
+
+        def sets_of(batches):  # one worker a task for both the filter and the sets
+            for batch in batches:
+                part = batch.filter(pa.array(bloom.might_contain(flt.value, batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
+                if part.num_rows:
+                    raw, bounds, _ = text_buffers(part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(raw, bounds, width)], pa.binary())], ["doc_id", "elements"])
+            release_memory()
+
+        # what the filter lets pass beside them meets no pair
+        sets = scratch.keep(docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets_of, "doc_id bigint, elements binary"), "sets")
         p = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        return p.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
+        found = scratch.keep(p.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"), "links")
+        drop(sets)
+        return found
 
-    links = scratch.keep(verified(star), "links")
+    links = verified(star)
     component = scratch.keep(connected_components(links, "a", "b"), "components")
     larger = members.where("size > 2 AND doc_id <> pivot")  # the pairs with a run's smallest member are decided
     tried = star
@@ -450,9 +451,9 @@ def _classes(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         blocked = blocked.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "slice", "run", "doc_id", "component", "n", "sketch", "block")
         groups = blocked.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP, "run", "doc_id")
         pairs = scratch.keep(groups.mapInArrow(_cross_pairs(first), "a bigint, b bigint, pivot bigint").distinct(), "pairs")
-        wanted = pairs.where(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        wanted = scratch.keep(pairs.where(F.col("a").isNotNull()).select("a", "b").join(tried, ["a", "b"], "left_anti"), "wanted")
         if not wanted.isEmpty():
-            links = scratch.keep(links.unionByName(verified(wanted)), "links")
+            links = links.unionByName(verified(wanted))
             component = scratch.keep(connected_components(links, "a", "b"), "components")
         elif pairs.where(F.col("pivot").isNotNull()).isEmpty():  # no pivot has pairs left out
             break

@@ -131,3 +131,23 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_sets_are_made_of_the_documents_of_pairs_only(spark, monkeypatch):
+    keep, kept = J.Scratch.keep, []
+
+    def counted(self, df, name):
+        stored = keep(self, df, name)
+        if name == "sets":
+            kept.append({r.doc_id for r in stored.select("doc_id").collect()})
+        return stored
+
+    monkeypatch.setattr(J.Scratch, "keep", counted)
+    rng = random.Random(8)
+    docs = corpus(7, 120)
+    base = [f"v{k}" for k in range(60)]
+    for i in range(200, 240):  # two thirds in common: some signatures are shared, no pair may link
+        docs.append((i, " ".join(base[:44] + [f"u{rng.randrange(10**6)}" for _ in range(16)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert len(set().union(*kept) & set(range(200, 240))) < 4  # false hits of the filter

@@ -60,3 +60,43 @@ def test_odd_rows(spark, odd_docs, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs.limit(0), str(tmp_path)).collect() == []
+
+
+def _shuffled(spark):
+    import time
+
+    time.sleep(1)  # for the listener
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch):
+    import base64
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(300)) for _ in range(200)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000, texts[3]), (1001, texts[4] + " tail"), (None, texts[5]), (None, None), (1002, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "link_classes", lambda df: classes)
+    classes = spark.createDataFrame([(i, 1, {1000: 3, 1001: 4}.get(i, i)) for i, _ in rows], "doc_id long, n_shingles long, component_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)).collect()
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if r[0] not in (1000, 1001))
+    assert 0 < moved < sum(map(len, texts)) // 4
+
+
+def test_without_keeps_all_but_the_given_keys(spark, odd_docs):
+    from lodestar.llm import bloom
+
+    docs = odd_docs.selectExpr("*", "concat('d', doc_id) AS name")
+    for key, some in (("doc_id", [1, 5, None, 77]), ("name", ["d1", "d5", None, "d77"])):
+        gone = spark.createDataFrame([(x,) for x in some], f"{key} {dict(docs.dtypes)[key]}")
+        got = bloom.without(docs, gone, key)
+        assert got.columns == docs.columns
+        assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["2", "3", "4", "6", "7", "None"]
+        assert bloom.without(docs, gone.limit(0), key).count() == docs.count() and bloom.without(docs.limit(0), gone, key).collect() == []
