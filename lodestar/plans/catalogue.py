@@ -206,6 +206,11 @@ def alias_expand(spark, sf_dir):
     return rollup.alias_expand(sites, aliases, "event_type", "kind")
 
 
+def _accounts(spark, sf_dir):
+    sites = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return sites, table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+
+
 def _candidates(spark, sf_dir):
     sites = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     targets = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
@@ -225,10 +230,13 @@ def resolve_cascade(spark, sf_dir):
 _LOOSE = """WITH j AS (SELECT c_custkey, s_suppkey, coalesce(abs(c_acctbal - s_acctbal) < 500, false) AS strict FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey),
  k AS (SELECT *, max(strict::INT) OVER (PARTITION BY c_custkey) AS any_strict FROM j), r AS (SELECT c_custkey, s_suppkey, CASE WHEN any_strict = 1 THEN 'strict' ELSE 'fell_back' END AS mode FROM k WHERE strict OR any_strict = 0)"""
 
+_STRICT = resolve.Near("c_acctbal", "s_acctbal", 500)
+
 
 @register(_LOOSE + " SELECT * FROM r")
 def strict_vs_loose(spark, sf_dir):
-    return resolve.strict_or_all(_candidates(spark, sf_dir), ["c_custkey"], F.expr("abs(c_acctbal - s_acctbal) < 500")).select("c_custkey", "s_suppkey", "mode")
+    sites, targets = _accounts(spark, sf_dir)
+    return resolve.near_or_all(sites, ["c_custkey"], targets, ["nation"], _STRICT).select("c_custkey", "s_suppkey", "mode")
 
 
 @register(_LOOSE + " SELECT mode, count(*) AS n, (count(*) * 100 // (SELECT count(*) FROM (SELECT DISTINCT c_custkey, mode FROM r)))::BIGINT AS percent FROM (SELECT DISTINCT c_custkey, mode FROM r) GROUP BY mode")
