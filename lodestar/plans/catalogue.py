@@ -241,7 +241,8 @@ def strict_vs_loose(spark, sf_dir):
 
 @register(_LOOSE + " SELECT mode, count(*) AS n, (count(*) * 100 // (SELECT count(*) FROM (SELECT DISTINCT c_custkey, mode FROM r)))::BIGINT AS percent FROM (SELECT DISTINCT c_custkey, mode FROM r) GROUP BY mode")
 def resolution_stats(spark, sf_dir):
-    return resolve.mode_shares(strict_vs_loose(spark, sf_dir).select("c_custkey", "mode").distinct(), "mode")
+    sites, targets = _accounts(spark, sf_dir)  # a site has one mode, whatever its pairs
+    return resolve.mode_shares(resolve.near_modes(sites, ["c_custkey"], targets, ["nation"], _STRICT).select("c_custkey", "mode").distinct(), "mode")
 
 
 @register("""SELECT src, dst, min(ts) AS ts FROM (SELECT event_type AS src, lead(event_type) OVER w AS dst, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL GROUP BY src, dst""")
