@@ -211,12 +211,6 @@ def _accounts(spark, sf_dir):
     return sites, table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
 
 
-def _candidates(spark, sf_dir):
-    sites = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    targets = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return sites.join(targets, sites["c_nationkey"] == targets["s_nationkey"], "left")
-
-
 _RULES = {"near": "abs(c_acctbal - s_acctbal) < 100", "same_sign": "s_acctbal < 0 AND c_acctbal < 0", "rich": "s_acctbal > 8000"}
 
 
@@ -224,7 +218,10 @@ _RULES = {"near": "abs(c_acctbal - s_acctbal) < 100", "same_sign": "s_acctbal <
  g AS (SELECT c_custkey, {", ".join(f"CASE WHEN count_if({k}) = 1 THEN max(CASE WHEN {k} THEN s_suppkey END) END AS {k}" for k in _RULES)} FROM j GROUP BY c_custkey)
  SELECT c_custkey, coalesce(near, same_sign, rich) AS target, CASE WHEN near IS NOT NULL THEN 'near' WHEN same_sign IS NOT NULL THEN 'same_sign' WHEN rich IS NOT NULL THEN 'rich' ELSE 'unresolved' END AS rule FROM g""")
 def resolve_cascade(spark, sf_dir):
-    return resolve.cascade(_candidates(spark, sf_dir), ["c_custkey"], "s_suppkey", [(k, F.expr(c)) for k, c in _RULES.items()])
+    sites, targets = _accounts(spark, sf_dir)
+    negative, rich = (F.col("c_acctbal") < 0, F.col("s_acctbal") < 0), (F.lit(True), F.col("s_acctbal") > 8000)
+    rules = [("near", resolve.Near("c_acctbal", "s_acctbal", 100)), ("same_sign", negative), ("rich", rich)]
+    return resolve.paired_cascade(sites, ["c_custkey"], targets, "s_suppkey", ["nation"], rules)
 
 
 _LOOSE = """WITH j AS (SELECT c_custkey, s_suppkey, coalesce(abs(c_acctbal - s_acctbal) < 500, false) AS strict FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey),

@@ -59,7 +59,7 @@ def test_near_or_all(spark, within, monkeypatch):
     assert modes == Counter({r[::2] for r in want})
 
 
-@pytest.mark.parametrize("name", ["strict_vs_loose", "resolution_stats"])
+@pytest.mark.parametrize("name", ["strict_vs_loose", "resolve_cascade", "resolution_stats"])
 def test_no_node_makes_all_pairs(spark, name, tmp_path):
     n, m = 600, 400
     spark.createDataFrame([(k, 3, k * 10.0) for k in range(n)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
