@@ -12,13 +12,22 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\r?\n")
 
 
-def checked_pattern(pattern: str, ignore_case: bool = False, fixed: bool = False) -> str:
-    """A pattern in the common part of regex dialects: look-around and back-references are refused."""
+_WORD = "[A-Za-z0-9_]"
+ASCII_BOUNDARIES = {"\\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", "\\B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"}
+
+
+def checked_pattern(pattern: str, ignore_case: bool = False, fixed: bool = False, ascii_words: bool = False) -> str:
+    """A pattern in the common part of regex dialects: look-around and back-references are refused, and only a line feed ends a line.
+
+    With ``ascii_words`` word boundaries are those of ASCII words, as in SQL; else Java's, to which other letters are of words too.
+    """
     if fixed:
         pattern = re.sub(r"([^\w\s])", r"\\\1", pattern)
     elif re.search(r"\(\?[=!<]|\\[1-9]", pattern):
         raise ValueError(f"look-around and back-references are not supported: {pattern}")
-    return f"(?i){pattern}" if ignore_case else pattern
+    elif ascii_words:
+        pattern = re.sub(r"(?s)\\Q.*?(?:\\E|$)|\\.", lambda m: ASCII_BOUNDARIES.get(m[0], m[0]), pattern)
+    return f"(?di){pattern}" if ignore_case else f"(?d){pattern}"
 
 
 def tokens(text: Column) -> Column:

@@ -15,9 +15,9 @@ def explode_lines(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return df.select(key, F.posexplode(lines(F.col(text_col))).alias("_at", "text")).select(key, (F.col("_at") + 1).alias("line"), "text")
 
 
-def grep(source_lines: DataFrame, pattern: str, ignore_case: bool = False, fixed: bool = False) -> DataFrame:
+def grep(source_lines: DataFrame, pattern: str, ignore_case: bool = False, fixed: bool = False, ascii_words: bool = False) -> DataFrame:
     """One row for each line that has a match."""
-    return source_lines.where(F.rlike("text", F.lit(checked_pattern(pattern, ignore_case, fixed))))
+    return source_lines.where(F.rlike("text", F.lit(checked_pattern(pattern, ignore_case, fixed, ascii_words))))
 
 
 def with_context(df: DataFrame, key: str, text_col: str, hit: Callable[[Column], Column], before: int, after: int) -> DataFrame:

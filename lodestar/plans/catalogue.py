@@ -77,7 +77,7 @@ _GREP = "(?i)\\bthe\\b.*\\btion"
 
 @register(f"SELECT doc_id, line, text FROM {_LINES} WHERE regexp_matches(text, '{_GREP}')")
 def grep_lines(spark, sf_dir):
-    return lines.grep(lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), _GREP)
+    return lines.grep(lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), _GREP, ascii_words=True)
 
 
 @register(f"SELECT doc_id, count(*) AS n_lines FROM {_LINES} WHERE contains(text, 'eau') GROUP BY doc_id ORDER BY n_lines DESC, doc_id")
@@ -93,7 +93,7 @@ def grep_context(spark, sf_dir):
 
 @register(f"SELECT doc_id, line FROM {_LINES} WHERE regexp_matches(text, 'token') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def grep_excluding(spark, sf_dir):
-    hits = lines.grep(lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "token").select("doc_id", "line")
+    hits = lines.grep(lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "token", ascii_words=True).select("doc_id", "line")
     return rollup.minus(hits, table(spark, sf_dir, "labels").where("toxic = 1"), ["doc_id"])
 
 
