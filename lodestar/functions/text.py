@@ -93,11 +93,14 @@ SOURCES = ["read", "load", "fetch", "get", "receive", "consume", "pull", "input"
 SINKS = ["write", "save", "insert", "update", "delete", "publish", "send", "emit", "store", "push", "output", "persist"]
 
 
-def boundary(text: Column, family: str, most_evidence: int = 6) -> tuple[Column, Column]:
-    """(evidence, confidence) of a family: its keywords inside the lower-cased text; the confidence grows by a tenth for each, 0.95 at most."""
-    low = F.lower(text)
-    hits = F.filter(F.array(*(F.lit(k) for k in BOUNDARIES[family])), lambda k: F.contains(low, k))
-    return F.slice(hits, 1, most_evidence), F.when(F.size(hits) > 0, F.least(F.lit(0.95), 0.45 + 0.1 * F.size(hits)))
+def boundary_hits(low: Column, family: str) -> Column:
+    """A family's keywords inside a text that is in lower case: a column of its own, or it is lowered again for each keyword."""
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in BOUNDARIES[family])))
+
+
+def boundary_confidence(hits: Column) -> Column:
+    """Grows by a tenth for each keyword, 0.95 at most; null without any."""
+    return F.when(F.size(hits) > 0, F.least(F.lit(0.95), 0.45 + 0.1 * F.size(hits)))
 
 
 def boundary_role(text: Column) -> Column:

@@ -419,10 +419,10 @@ def _families(column: str) -> str:
 
 @register(f"SELECT page_id, family, n AS hits, round(least(0.95, 0.45 + 0.1 * n), 6)::DOUBLE AS confidence FROM ({_families('html')}) WHERE n > 0")
 def boundary_keywords(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    found = [F.struct(F.lit(f).alias("family"), *(c.alias(n) for c, n in zip(text.boundary(F.col("html"), f, 99), ("evidence", "confidence"), strict=True))) for f in text.BOUNDARIES]
-    d = pages.select("page_id", F.explode(F.array(*found)).alias("b")).where("b.confidence IS NOT NULL")
-    return d.select("page_id", "b.family", F.size("b.evidence").cast("bigint").alias("hits"), F.round("b.confidence", 6).alias("confidence"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lower("html").alias("low"))
+    found = [F.struct(F.lit(f).alias("family"), text.boundary_hits(F.col("low"), f).alias("hits")) for f in text.BOUNDARIES]
+    d = pages.select("page_id", F.explode(F.array(*found)).alias("b")).select("page_id", "b.family", "b.hits").where(F.size("hits") > 0)
+    return d.select("page_id", "family", F.size("hits").cast("bigint").alias("hits"), F.round(text.boundary_confidence(F.col("hits")), 6).alias("confidence"))
 
 
 @register("""SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^\\p{L}\\p{N}_]+')) AS token FROM conversations) WHERE token <> '' GROUP BY token""")

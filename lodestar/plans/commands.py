@@ -292,9 +292,11 @@ def boundaries(code: CodeIndex, least: float = 0.0) -> DataFrame:
     """(fn_id, family, role, confidence, evidence) by keywords in a function's name, signature and callees."""
     callees = code.call_sites.groupBy(F.col("caller_id").alias("fn_id")).agg(F.array_join(F.array_sort(F.collect_set("callee")), " ").alias("callees"))
     d = code.functions.join(callees, "fn_id", "left").withColumn("corpus", F.concat_ws(" ", "name", "signature", F.coalesce("callees", F.lit(""))))
-    found = [F.struct(F.lit(f).alias("family"), *(c.alias(n) for c, n in zip(text.boundary(F.col("corpus"), f), ("evidence", "confidence"), strict=True))) for f in text.BOUNDARIES]
-    d = d.select("fn_id", text.boundary_role(F.col("corpus")).alias("role"), F.explode(F.array(*found)).alias("b"))
-    return d.where(F.col("b.confidence") >= max(least, 1e-9)).select("fn_id", "b.family", "role", "b.confidence", "b.evidence")
+    d = d.select("fn_id", text.boundary_role(F.col("corpus")).alias("role"), F.lower("corpus").alias("low"))
+    found = [F.struct(F.lit(f).alias("family"), text.boundary_hits(F.col("low"), f).alias("hits")) for f in text.BOUNDARIES]
+    d = d.select("fn_id", "role", F.explode(F.array(*found)).alias("b")).select("fn_id", "role", "b.family", "b.hits")
+    d = d.withColumn("confidence", text.boundary_confidence(F.col("hits"))).where(F.col("confidence") >= max(least, 1e-9))
+    return d.select("fn_id", "family", "role", "confidence", F.slice("hits", 1, 6).alias("evidence"))
 
 
 def ensemble(code: CodeIndex, name: str, depth: int = 2) -> dict[str, DataFrame]:
